@@ -1,0 +1,38 @@
+"""Python functions that run on Arrow batches, for what Spark has no function for."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.LongType())
+def business_days(start: pd.Series, end: pd.Series) -> pd.Series:
+    """Weekdays from the earlier date up to but not including the later one.
+
+    Negative where ``end`` is the earlier one.
+    """
+    known = (start.notna() & end.notna()).to_numpy()
+    days = np.zeros(len(start), dtype="int64")
+    first = pd.to_datetime(start[known]).to_numpy().astype("datetime64[D]")
+    last = pd.to_datetime(end[known]).to_numpy().astype("datetime64[D]")
+    counted = np.busday_count(np.minimum(first, last), np.maximum(first, last))
+    days[known] = np.where(first <= last, counted, -counted)
+    return pd.Series(days).astype("Int64").where(known)
+
+
+@F.udtf(
+    returnType=T.StructType().add("instalment", T.IntegerType()).add("due_cents", T.LongType()),
+    useArrow=True,
+)
+class Instalments:
+    """Split an amount into equal parts, the first ones taking the odd cents."""
+
+    def eval(self, cents: int, parts: int) -> Iterator[tuple[int, int]]:
+        each, odd = divmod(cents, parts)
+        for number in range(1, parts + 1):
+            yield number, each + (number <= odd)
