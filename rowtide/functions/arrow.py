@@ -6,33 +6,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.LongType())
-def business_days(start: pd.Series, end: pd.Series) -> pd.Series:
+def business_days(start: Column, end: Column) -> Column:
     """Weekdays from the earlier date up to but not including the later one.
 
     Negative where ``end`` is the earlier one.
     """
+    return _weekdays_between(F.unix_date(start.cast("date")), F.unix_date(end.cast("date")))
+
+
+@F.pandas_udf(T.LongType())
+def _weekdays_between(start: pd.Series, end: pd.Series) -> pd.Series:
     known = (start.notna() & end.notna()).to_numpy()
     days = np.zeros(len(start), dtype="int64")
-    first = pd.to_datetime(start[known]).to_numpy().astype("datetime64[D]")
-    last = pd.to_datetime(end[known]).to_numpy().astype("datetime64[D]")
+    first = start[known].to_numpy(dtype="int64").astype("datetime64[D]")
+    last = end[known].to_numpy(dtype="int64").astype("datetime64[D]")
     counted = np.busday_count(np.minimum(first, last), np.maximum(first, last))
     days[known] = np.where(first <= last, counted, -counted)
     return pd.Series(days).astype("Int64").where(known)
 
 
-@F.udtf(
-    returnType=T.StructType().add("instalment", T.IntegerType()).add("due_cents", T.LongType()),
-    useArrow=True,
+@F.arrow_udtf(
+    returnType=T.StructType()
+    .add("id", T.LongType())
+    .add("instalment", T.IntegerType())
+    .add("due_cents", T.LongType())
 )
 class Instalments:
-    """Split an amount into equal parts, the first ones taking the odd cents."""
+    """Split amounts into equal parts, the first ones taking the odd cents.
+
+    Takes a table of ``id``, ``cents`` and ``parts``, batch by batch where it lies.
+    """
 
-    def eval(self, cents: int, parts: int) -> Iterator[tuple[int, int]]:
-        each, odd = divmod(cents, parts)
-        for number in range(1, parts + 1):
-            yield number, each + (number <= odd)
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        ids, cents, parts = (batch[name].to_numpy() for name in ("id", "cents", "parts"))
+        row = np.repeat(np.arange(len(parts)), parts)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts) + 1
+        due = cents[row] // parts[row] + (number <= cents[row] % parts[row])
+        yield pa.table({
+            "id": pa.array(ids[row], pa.int64()),
+            "instalment": pa.array(number, pa.int32()),
+            "due_cents": pa.array(due, pa.int64()),
+        })

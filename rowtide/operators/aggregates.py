@@ -60,10 +60,10 @@ def totals_by(
     """Rollup, cube or grouping sets of sums, computed from sums at the finest grain.
 
     Spark repeats each input row once per grouping set, so it is given the few rows of
-    the finest grain instead of the table. ``group`` applies ``rollup``, ``cube`` or
-    ``groupingSets`` to them.
+    the finest grain instead of the table. ``sums`` holds the counts and sums to take
+    there; ``group`` applies ``rollup``, ``cube`` or ``groupingSets`` to the result.
     """
-    base = df.groupBy(*finest).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    base = df.groupBy(*finest).agg(*[c.alias(name) for name, c in sums.items()])
     totals = [F.sum(name).alias(name) for name in sums]
     return group(base).agg(*totals, F.grouping_id().alias("level"))
 

@@ -38,27 +38,61 @@ def as_of_join(
     left_ts: str,
     right_ts: str,
     values: list[str],
+    tiebreak: str,
 ) -> DataFrame:
     """Each left row with ``values`` of the latest right row not after it, or nulls.
 
-    Of right rows at one time, the largest in the order of ``values`` counts. Both
-    sides are stacked and each left row takes the last right row before it: one
-    shuffle, and no pairs.
+    Of right rows at one time, the one with the largest ``tiebreak`` (an integer below
+    2**62) counts. Both sides are stacked and each left row takes the last right row
+    before it: one shuffle, and no pairs.
     """
-    at = micros(right_ts)
-    latest = right.where(F.col(right_ts).isNotNull()).groupBy(*keys, at.alias("_ts")).agg(
-        F.max(F.struct(*values)).alias("_right")
+    known = right.where(F.col(right_ts).isNotNull()).select(
+        *keys,
+        micros(right_ts).alias("_ts"),
+        F.col(tiebreak).cast("bigint").alias("_step"),
+        F.struct(*values).alias("_right"),
     )
+    rows = known.unionByName(_boxed(left, keys, left_ts, 1 << 62), allowMissingColumns=True)
+    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step")).last_known("_right", "_found")
+    found = groups.result().where("_left is not null")
+    return found.select(*keys, "_left.*", *[F.col("_found")[v].alias(v) for v in values])
+
+
+def _boxed(left: DataFrame, keys: list[str], ts: str, after: int) -> DataFrame:
+    """Left rows as one struct column, placed after the other rows of their time.
+
+    Their order among themselves does not matter; the hash lets a crowded time be cut.
+    """
     names = [c for c in left.columns if c not in keys]
-    boxed = left.select(*keys, micros(left_ts).alias("_ts"), F.struct(*names).alias("_left"))
-    # At equal times right rows come first, and left rows in any order.
-    rows = latest.withColumn("_side", F.lit(-1).cast("bigint")).unionByName(
-        boxed.withColumn("_side", F.pmod(F.xxhash64("_left"), F.lit(1 << 31))),
-        allowMissingColumns=True,
+    boxed = left.select(*keys, micros(ts).alias("_ts"), F.struct(*names).alias("_left"))
+    return boxed.withColumn("_step", F.pmod(F.xxhash64("_left"), F.lit(1 << 31)) + F.lit(after))
+
+
+def _range_steps(
+    right: DataFrame, keys: list[str], ts: str, width_micros: int, value: str
+) -> DataFrame:
+    """Per key and time, counts and sums to add then and to take off after the width."""
+    per_time = (
+        right.where(F.col(ts).isNotNull())
+        .groupBy(*keys, micros(ts).alias("_ts"))
+        .agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
     )
-    known = order_groups(rows, keys, Order("_ts", tiebreak="_side")).last_known("_right", "_found")
-    found = known.result().where("_left is not null")
-    return found.select(*keys, "_left.*", *[F.col("_found")[v].alias(v) for v in values])
+    opened = F.struct("_ts", "_n", "_sum", F.lit(-1).cast("bigint").alias("_step"))
+    closed = F.struct(
+        (F.col("_ts") + F.lit(width_micros).cast("bigint")).alias("_ts"),
+        (-F.col("_n")).alias("_n"),
+        (-F.col("_sum")).alias("_sum"),
+        F.lit(1 << 31).alias("_step"),
+    )
+    return per_time.select(*keys, F.inline(F.array(opened, closed)))
+
+
+def _sum_steps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step"))
+    groups = groups.running_sum("_n", "_count").running_sum("_sum", "_total")
+    count = F.coalesce("_count", F.lit(0)).cast("bigint")
+    total = F.when(count > 0, F.col("_total"))
+    return groups.result().withColumns({"range_count": count, "range_sum": total})
 
 
 def count_in_range(
@@ -72,37 +106,15 @@ def count_in_range(
 ) -> DataFrame:
     """Each left row with the count and sum of right rows a range join would pair it with.
 
-    A right row adds to a running sum at its time and is taken off after ``width``;
-    a left row reads the sum in between. The work grows with the rows, not the pairs.
+    A right row adds to a running sum at its time and is taken off after the width; a
+    left row reads the sum in between. The work grows with the rows, not the pairs.
     Right rows of one time are added up before the shuffle. ``value`` must be exact
-    (integer or decimal), since later rows subtract it again.
+    (integer or decimal), since what is added is subtracted again.
     """
-    right = right.where(F.col(right_ts).isNotNull())
-    per_time = right.groupBy(*keys, micros(right_ts).alias("_ts")).agg(
-        F.count("*").alias("_n"), F.sum(value).alias("_sum")
-    )
-    opened = per_time.withColumn("_step", F.lit(-1).cast("bigint"))
-    closed = per_time.select(
-        *keys,
-        (F.col("_ts") + width_micros).alias("_ts"),
-        (-F.col("_n")).alias("_n"),
-        (-F.col("_sum")).alias("_sum"),
-        F.lit(1 << 31).alias("_step"),
-    )
-    names = [c for c in left.columns if c not in keys]
-    asked = left.select(*keys, micros(left_ts).alias("_ts"), F.struct(*names).alias("_left"))
-    asked = asked.withColumn("_step", F.pmod(F.xxhash64("_left"), F.lit(1 << 31)))
-    rows = opened.unionByName(closed).unionByName(asked, allowMissingColumns=True)
-    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step"))
-    groups = groups.running_sum("_n", "_count").running_sum("_sum", "_total")
-    found = groups.result().where("_left is not null")
-    count = F.coalesce("_count", F.lit(0))
-    return found.select(
-        *keys,
-        "_left.*",
-        count.alias("range_count"),
-        F.when(count > 0, F.col("_total")).alias("range_sum"),
-    )
+    steps = _range_steps(right, keys, right_ts, width_micros, value)
+    asked = _boxed(left, keys, left_ts, 0)
+    found = _sum_steps(steps.unionByName(asked, allowMissingColumns=True), keys)
+    return found.where("_left is not null").select(*keys, "_left.*", "range_count", "range_sum")
 
 
 def trailing_sum(
@@ -112,7 +124,7 @@ def trailing_sum(
 
     Equals a RANGE frame, without sending a whole group to one task.
     """
-    times = df.groupBy(*keys, micros(ts).alias("_at")).agg(F.lit(1).alias("_one"))
-    times = times.select(*keys, timestamp_from_micros("_at").alias(ts))
-    source = df.withColumnRenamed(ts, "_source_ts")
-    return count_in_range(times, source, keys, ts, "_source_ts", width_micros, value)
+    found = _sum_steps(_range_steps(df, keys, ts, width_micros, value), keys)
+    return found.where("_step < 0").select(
+        *keys, timestamp_from_micros("_ts").alias(ts), "range_count", "range_sum"
+    )

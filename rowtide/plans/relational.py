@@ -6,10 +6,12 @@ its threshold and otherwise shuffles both, splitting skewed partitions at run ti
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowtide.functions.columns import money, rate, revenue
+from rowtide.functions.columns import cents, exact_sum, money, revenue
 from rowtide.operators.aggregates import exact_percentiles, totals_by
 from rowtide.plans.catalog import query
 from rowtide.session import work_path
@@ -21,10 +23,6 @@ def _day(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _wide(column: Column, scale: int = 2) -> Column:
-    return column.cast(f"decimal(38,{scale})")
-
-
 @query("SELECT * FROM part")
 def declared_schema_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part")
@@ -42,7 +40,7 @@ def partitioned_write_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame
     return (
         lines.where(F.col("l_returnflag") == "R")
         .groupBy("l_linestatus")
-        .agg(F.count("*").alias("n"), _wide(F.sum(money("l_extendedprice"))).alias("price"))
+        .agg(F.count("*").alias("n"), exact_sum(cents("l_extendedprice"), 2).alias("price"))
     )
 
 
@@ -56,12 +54,13 @@ def partitioned_write_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame
 """)
 def filter_and_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
+    amount = (revenue() * F.lit(Decimal("0.0001"))).cast("decimal(38,4)")
     return lines.where(
         (F.col("l_shipdate") >= _day("1997-01-01"))
         & (F.col("l_shipdate") < _day("1998-01-01"))
-        & rate("l_discount").between(F.lit("0.05").cast("decimal(5,2)"), F.lit("0.07").cast("decimal(5,2)"))
+        & cents("l_discount").between(5, 7)
         & (F.col("l_quantity") < 24)
-    ).select("l_orderkey", "l_linenumber", "l_quantity", _wide(revenue(), 4).alias("revenue"))
+    ).select("l_orderkey", "l_linenumber", "l_quantity", amount.alias("revenue"))
 
 
 @query("""
@@ -80,16 +79,16 @@ def filter_and_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
-    charge = revenue() * (F.lit(1).cast("decimal(5,2)") + rate("l_tax"))
-    quantity = F.sum(money("l_quantity"))
+    charge = revenue() * (100 + cents("l_tax"))
+    quantity = exact_sum(cents("l_quantity"), 2)
     return (
         lines.where(F.col("l_shipdate") <= _day("2000-09-02"))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            _wide(quantity).alias("sum_qty"),
-            _wide(F.sum(money("l_extendedprice"))).alias("sum_base_price"),
-            _wide(F.sum(revenue()), 4).alias("sum_disc_price"),
-            _wide(F.sum(charge), 6).alias("sum_charge"),
+            quantity.alias("sum_qty"),
+            exact_sum(cents("l_extendedprice"), 2).alias("sum_base_price"),
+            exact_sum(revenue(), 4).alias("sum_disc_price"),
+            exact_sum(charge, 6).alias("sum_charge"),
             (quantity.cast("double") / F.count("*")).alias("avg_qty"),
             F.count("*").alias("count_order"),
         )
@@ -121,7 +120,7 @@ def star_join_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
             & (F.col("s_nationkey") == F.col("c_nationkey")),
         )
         .groupBy("c_nationkey")
-        .agg(F.count("*").alias("n"), _wide(F.sum(revenue()), 4).alias("revenue"))
+        .agg(F.count("*").alias("n"), exact_sum(revenue(), 4).alias("revenue"))
     )
     return revenue_by_nation.join(
         nation, F.col("n_nationkey") == F.col("c_nationkey")
@@ -139,13 +138,13 @@ def left_join_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = (
         read_table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.count("*").alias("lines"), F.sum(money("l_quantity")).alias("quantity"))
+        .agg(F.count("*").alias("lines"), exact_sum(cents("l_quantity"), 2).alias("quantity"))
     )
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
     return orders.join(per_order, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
         "o_orderkey",
         F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"),
-        _wide(F.coalesce("quantity", F.lit(0))).alias("quantity"),
+        F.coalesce("quantity", F.lit(0).cast("decimal(38,2)")).alias("quantity"),
     )
 
 
@@ -244,9 +243,9 @@ def _grouped_sql(grouping: str) -> str:
 
 def _line_totals(spark: SparkSession, sf_dir: str, group) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
-    sums = {"n": F.lit(1), "quantity": money("l_quantity")}
+    sums = {"n": F.count("*"), "quantity": exact_sum(cents("l_quantity"), 2)}
     totals = totals_by(lines, group, ["l_returnflag", "l_linestatus"], sums)
-    return totals.withColumn("quantity", _wide(F.col("quantity")))
+    return totals.withColumn("quantity", F.col("quantity").cast("decimal(38,2)"))
 
 
 @query(_grouped_sql("ROLLUP (l_returnflag, l_linestatus)"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions.arrow import Instalments, business_days
-from rowtide.functions.columns import money, rate
+from rowtide.functions.columns import cents, exact_sum
 from rowtide.operators.aggregates import histogram
 from rowtide.plans.catalog import query
 from rowtide.sources.tables import read_table
@@ -98,20 +98,15 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM parts GROUP BY l_returnflag
 """)
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.array(
-        money("l_quantity"), rate("l_discount").cast("decimal(15,2)"), rate("l_tax").cast("decimal(15,2)")
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", F.array(cents("l_quantity"), cents("l_discount"), cents("l_tax")).alias("a")
     )
-    zero = F.lit(0).cast("decimal(20,2)")
-    doubled = F.aggregate(
-        F.transform("a", lambda x: x * 2), zero, lambda total, x: (total + x).cast("decimal(20,2)")
-    )
-    four = F.lit("0.04").cast("decimal(15,2)")
-    lines = read_table(spark, sf_dir, "lineitem").select("l_returnflag", values.alias("a"))
+    doubled = F.aggregate(F.transform("a", lambda x: x * 2), F.lit(0).cast("bigint"), lambda t, x: t + x)
     return lines.groupBy("l_returnflag").agg(
-        F.sum(doubled).cast("decimal(38,2)").alias("doubled"),
-        F.sum(F.size(F.filter("a", lambda x: x >= F.lit("0.05").cast("decimal(15,2)")))).alias("large_values"),
-        F.sum(F.array_max("a")).cast("decimal(38,2)").alias("largest"),
-        F.count(F.when(F.array_contains("a", four), 1)).alias("with_four"),
+        exact_sum(doubled, 2).alias("doubled"),
+        F.sum(F.size(F.filter("a", lambda x: x >= 5))).alias("large_values"),
+        exact_sum(F.array_max("a"), 2).alias("largest"),
+        F.count(F.when(F.array_contains("a", F.lit(4).cast("bigint")), 1)).alias("with_four"),
     )
 
 
@@ -174,9 +169,16 @@ def business_days_to_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    days = F.abs(business_days(F.col("o_orderdate"), F.col("l_shipdate")))
-    return joined.select("o_orderpriority", days.alias("days")).groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), F.sum("days").alias("business_days")
+    # Python sees each pair of days once per priority, not once per line.
+    pairs = joined.groupBy(
+        "o_orderpriority",
+        F.to_date("o_orderdate").alias("ordered"),
+        F.to_date("l_shipdate").alias("shipped"),
+    ).agg(F.count("*").alias("n"))
+    days = F.abs(business_days(F.col("ordered"), F.col("shipped")))
+    counted = pairs.select("o_orderpriority", "n", (days * F.col("n")).alias("days"))
+    return counted.groupBy("o_orderpriority").agg(
+        F.sum("n").alias("n"), F.sum("days").alias("business_days")
     )
 
 
@@ -204,9 +206,9 @@ def quantity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def order_instalments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        (money("o_totalprice") * 100).cast("bigint").alias("cents"),
+        F.col("o_orderkey").alias("id"),
+        cents("o_totalprice").alias("cents"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("parts"),
     )
-    due = Instalments(F.col("cents").outer(), F.col("parts").outer())
-    return orders.lateralJoin(due).select("o_orderkey", "instalment", "due_cents")
+    due = Instalments(orders.asTable())
+    return due.withColumnRenamed("id", "o_orderkey")

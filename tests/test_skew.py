@@ -123,7 +123,7 @@ def test_as_of_join_ties_and_nulls(spark, any_size_is_large):
     right = _times(spark, [(1, 10, "2024-01-02"), (1, 11, "2024-01-02"), (1, 12, "2024-01-03"),
                            (None, 13, "2024-01-04"), (1, 14, None)])
     right = right.select("k", F.col("id").alias("rid"), F.col("ts").alias("rts"))
-    got = as_of_join(left, right, ["k"], "ts", "rts", ["rid"]).select("id", "rid").collect()
+    got = as_of_join(left, right, ["k"], "ts", "rts", ["rid"], "rid").select("id", "rid").collect()
     assert sorted(map(tuple, got)) == [(1, 11), (2, 11), (3, None), (4, None), (5, 13), (6, None)]
 
 
