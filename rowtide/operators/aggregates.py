@@ -7,6 +7,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,21 +81,14 @@ def histogram(
 
     def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame[frame[value].notna()]
-            place = np.floor((frame[value].to_numpy() - low) / width)
-            frame["bin"] = np.clip(place, 0, bins - 1).astype(np.int64)
-            counts = frame.groupby([*keys, "bin"], dropna=False).size().reset_index(name="n")
-            yield pa.RecordBatch.from_pandas(counts, schema=schema, preserve_index=False)
-
-    narrow = df.select(*keys, F.col(value).cast("double"))
+            rows = pa.Table.from_batches([batch]).filter(pc.is_valid(batch[value]))
+            place = np.floor((rows[value].to_numpy() - low) / width)
+            place = np.clip(place, 0, bins - 1).astype("int64")
+            rows = rows.drop_columns([value]).append_column("bin", pa.array(place))
+            counts = rows.group_by([*keys, "bin"]).aggregate([([], "count_all")])
+            yield from counts.rename_columns([*keys, "bin", "n"]).to_batches()
+
+    narrow = df.select(*keys, F.col(value).cast("double").alias(value))
     partial = narrow.select(*keys).schema.add("bin", T.LongType()).add("n", T.LongType())
-    schema = pa.schema([
-        *[(f.name, _arrow_type(f.dataType.simpleString())) for f in partial]
-    ])
     counted = narrow.mapInArrow(count_batches, partial)
     return counted.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
-
-
-def _arrow_type(name: str) -> pa.DataType:
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]

@@ -1,0 +1,38 @@
+"""Set operations that keep copies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Copies made by one task from one row.
+COPIES_PER_ROW = 1_000_000
+
+
+def intersect_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row as often as the side that has it less often."""
+    return _copies(left, right, F.least("_left", "_right"))
+
+
+def except_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row as often as ``left`` has it more often than ``right``."""
+    return _copies(left, right, F.col("_left") - F.col("_right"))
+
+
+def _copies(left: DataFrame, right: DataFrame, times: Column) -> DataFrame:
+    """Rows repeated ``times``, from the number of copies on each side.
+
+    Copies are counted before the shuffle. Spark's own ALL operations then repeat a row
+    in the task that counted it; here a row with very many copies is first dealt out.
+    """
+    columns = left.columns
+    both = left.withColumn("_side", F.lit(0)).union(right.withColumn("_side", F.lit(1)))
+    counts = both.groupBy(*columns).agg(
+        F.count(F.when(F.col("_side") == 0, 1)).alias("_left"),
+        F.count(F.when(F.col("_side") == 1, 1)).alias("_right"),
+    )
+    counts = counts.withColumn("_times", times).where("_times > 0")
+    first = F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1, F.lit(COPIES_PER_ROW).cast("bigint"))
+    dealt = counts.withColumn("_first", F.explode(first)).repartition(*columns, "_first")
+    size = F.least(F.col("_times") - F.col("_first"), F.lit(COPIES_PER_ROW))
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).select(*columns)

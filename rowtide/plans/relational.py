@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.columns import cents, exact_sum, money, revenue
 from rowtide.operators.aggregates import exact_percentiles, totals_by
+from rowtide.operators.sets import except_all, intersect_all
 from rowtide.plans.catalog import query
 from rowtide.session import work_path
 from rowtide.sources.partitioned import read_partitioned, write_partitioned
@@ -35,7 +36,7 @@ def declared_schema_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def partitioned_write_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "lineitem")
-    write_partitioned(read_table(spark, sf_dir, "lineitem"), path, ["l_returnflag"], 8)
+    write_partitioned(read_table(spark, sf_dir, "lineitem"), path, ["l_returnflag"])
     lines = read_partitioned(spark, path, SCHEMAS["lineitem"])
     return (
         lines.where(F.col("l_returnflag") == "R")
@@ -400,7 +401,7 @@ def intersect_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def intersect_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _keys(spark, sf_dir, "customer", "c_nationkey", "nationkey")
-    return customers.intersectAll(_keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))
+    return intersect_all(customers, _keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))
 
 
 @query("""
@@ -416,4 +417,4 @@ def except_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def except_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _keys(spark, sf_dir, "customer", "c_nationkey", "nationkey")
-    return customers.exceptAll(_keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))
+    return except_all(customers, _keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], files_per_value: int) -> None:
-    """Write one folder per value of ``by``, each as up to ``files_per_value`` files.
+def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
+    """Write one folder per value of ``by``.
 
-    The random salt spreads a value that holds much of the data over that many tasks,
-    and keeps every task from opening a file in every folder.
+    Rebalancing brings the rows of a value together, so that tasks do not each open a
+    file in every folder, and lets adaptive execution deal a value that holds much of
+    the data out to several tasks, and files, of the advisory partition size.
     """
-    salt = F.floor(F.rand(seed=0) * files_per_value)
-    df.repartition(*by, salt).write.partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
 
 
 def read_partitioned(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,28 +27,41 @@ def event_stream(
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+# Keeps state on local disk with a copy in the checkpoint, so it may outgrow memory.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def run_to_table(stream: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Process all input there is now, write it as a table and read that table.
 
-    Files and checkpoint lie in the shared folder, so a restarted run goes on from the
-    last finished batch. ``settings`` hold for this stream only.
+    Output and checkpoint lie in the shared folder, so tasks that are lost run again
+    from there. ``settings`` hold for this stream only.
     """
     spark = stream.sparkSession
     path = work_path(spark, label)
-    before = {name: spark.conf.get(name) for name in settings or {}}
-    for name, value in (settings or {}).items():
-        spark.conf.set(name, value)
-    try:
+    with _settings(spark, {**STATE_ON_DISK, **(settings or {})}):
         writer = stream.writeStream.outputMode("append").format("parquet")
         writer = writer.option("checkpointLocation", f"{path}/checkpoint")
         run = writer.trigger(availableNow=True).start(f"{path}/rows")
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def one_of_each(stream: DataFrame, columns: list[str], latest_by: str) -> DataFrame:
     """Within each Arrow batch, keep one row, the latest, per value of ``columns``.
 
