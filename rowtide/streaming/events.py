@@ -15,6 +15,8 @@ from rowtide.streaming.sources import one_of_each
 # Merges sessions inside each input partition before the shuffle.
 LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
+DAY_MS = 86_400_000
+
 
 def window_totals(stream: DataFrame, keys: list[str], window: Column, delay: str) -> DataFrame:
     """Count and sum of ``value`` per key and event-time window, once the window closes."""
@@ -75,38 +77,45 @@ def complete_days(stream: DataFrame, steps: list[str], delay: str) -> DataFrame:
     """One row per user and day as soon as all ``steps`` were seen, in any order.
 
     A windowed aggregate would report a day only after it closes, or over and over in
-    update mode; the state here reports it once, at once. It holds the steps seen and
-    is dropped when the watermark passes the day's end.
+    update mode; the state here reports it once, at once. Per user it holds the steps
+    seen on each day that the watermark has not passed.
     """
-    days = (
-        stream.where(F.col("event_type").isin(steps))
-        .withColumn("day", F.date_trunc("day", "ts"))
-        .select("user_id", "day", "event_type", "ts")
+    bits = F.create_map(*[F.lit(v) for i, step in enumerate(steps) for v in (step, 1 << i)])
+    days = stream.where(F.col("event_type").isin(steps)).select(
+        "user_id",
+        F.unix_date(F.to_date("ts")).cast("bigint").alias("day"),
+        bits[F.col("event_type")].cast("bigint").alias("step"),
+        "ts",
     )
     # What one batch says twice about a user's day need not reach the state.
-    days = one_of_each(days, ["user_id", "day", "event_type"], "ts").withWatermark("ts", delay)
+    days = one_of_each(days, ["user_id", "day", "step"], "ts").withWatermark("ts", delay)
+    complete = (1 << len(steps)) - 1
 
     def update(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        seen = dict(zip(*state.get)) if state.exists else {}
+        done = {day for day, bits in seen.items() if bits == complete}
+        for frame in [] if state.hasTimedOut else frames:
+            for day, step in zip(frame["day"].tolist(), frame["step"].tolist()):
+                seen[day] = seen.get(day, 0) | step
+        found = [day for day, bits in seen.items() if bits == complete and day not in done]
+        if found:
+            yield pd.DataFrame({"user_id": key[0], "day": found})
+        passed = state.getCurrentWatermarkMs()
+        seen = {day: bits for day, bits in seen.items() if (day + 1) * DAY_MS > passed}
+        if seen:
+            state.update((list(seen), list(seen.values())))
+            state.setTimeoutTimestamp((min(seen) + 1) * DAY_MS)
+        elif state.exists:
             state.remove()
-            return
-        seen = set(state.get[0].split("\n")) if state.exists else set()
-        done = seen.issuperset(steps)
-        for frame in frames:
-            seen.update(frame["event_type"])
-        state.update(("\n".join(sorted(seen)),))
-        ends = pd.Timestamp(key[1]) + pd.Timedelta(days=1)
-        state.setTimeoutTimestamp(max(int(ends.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        if not done and seen.issuperset(steps):
-            yield pd.DataFrame({"user_id": [key[0]], "day": [key[1]]})
-
-    found = days.groupBy("user_id", "day").applyInPandasWithState(
+
+    found = days.groupBy("user_id").applyInPandasWithState(
         update,
-        "user_id bigint, day timestamp",
-        "seen string",
+        "user_id bigint, day bigint",
+        "days array<bigint>, seen array<bigint>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-    return found.withColumn("day", F.col("day").cast("timestamp_ntz"))
+    day = F.date_from_unix_date(F.col("day").cast("int")).cast("timestamp_ntz")
+    return found.select("user_id", day.alias("day"))
