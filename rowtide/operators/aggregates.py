@@ -24,7 +24,7 @@ def exact_percentiles(
     percentile, so no task holds all values of a group as the built-in aggregate does.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    groups = order_groups(counts, keys, Order(value)).running_sum("_n", "_upto")
+    groups = order_groups(counts, keys, Order(value), costly=True).running_sum("_n", "_upto")
     running = groups.result().select(*keys, value, "_n", "_upto")
     totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(
         F.sum("_n").alias("_total")

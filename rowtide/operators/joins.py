@@ -88,7 +88,7 @@ def _range_steps(
 
 
 def _sum_steps(rows: DataFrame, keys: list[str]) -> DataFrame:
-    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step"))
+    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step"), costly=True)
     groups = groups.running_sum("_n", "_count").running_sum("_sum", "_total")
     count = F.coalesce("_count", F.lit(0)).cast("bigint")
     total = F.when(count > 0, F.col("_total"))

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtide.functions.columns import micros
-from rowtide.session import work_path
+from rowtide.session import written
 
 # A group up to this size is left to one task. Set it per session with this name.
 SAFE_GROUP_ROWS_SETTING = "rowtide.safeGroupRows"
-SAFE_GROUP_ROWS = 1_000_000
+SAFE_GROUP_ROWS = 10_000_000
+# More blocks than tasks, so that tasks get near equal shares of them.
+BLOCKS_PER_TASK = 4
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -87,9 +89,7 @@ class OrderedGroups:
         table = blocks.select(
             *[F.col(k).alias(f"_carry_{k}") for k in self._parts], *carried(along)
         )
-        path = work_path(self.df.sparkSession, "blocks")
-        table.write.parquet(path)
-        table = self.df.sparkSession.read.schema(table.schema).parquet(path)
+        table = written(table, "blocks")
         match = [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in self._parts]
         joined = self.df.join(table, on=match, how="left")
         return joined.drop(*[f"_carry_{k}" for k in self._parts])
@@ -196,11 +196,14 @@ class OrderedGroups:
         return self.df.drop("_at", "_tie", "_block", "_sub")
 
 
-def order_groups(df: DataFrame, keys: list[str], order: Order) -> OrderedGroups:
+def order_groups(
+    df: DataFrame, keys: list[str], order: Order, costly: bool = False
+) -> OrderedGroups:
     """Group ``df`` by ``keys`` and order each group; no keys means one group of all rows.
 
-    Reads the key columns once to find large groups. With one, it reads their order
-    column as well, for the block limits.
+    Reads the key columns once to find large groups. With one, the rows are read several
+    times more, for the block limits and for what blocks hand on; ``costly`` rows, those
+    that took a shuffle to compute, are then written and read back.
     """
     at, kind = F.col(order.column), df.schema[order.column].dataType
     if isinstance(kind, T.TimestampNTZType):
@@ -214,26 +217,27 @@ def order_groups(df: DataFrame, keys: list[str], order: Order) -> OrderedGroups:
     tie = F.col(order.tiebreak) if order.tiebreak else F.lit(0)
     keyed = df.withColumns({"_at": at, "_tie": tie})
 
-    blocks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     group = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    large = _large_groups(df, group, blocks)
+    large = _large_groups(df, group, tasks)
     if large:
-        keyed = _cut(keyed, group.isin(large), order.descending, blocks)
+        keyed = written(keyed, "rows") if costly else keyed
+        keyed = _cut(keyed, group.isin(large), order.descending, tasks * BLOCKS_PER_TASK)
     return OrderedGroups(keyed, tuple(keys), order, bool(large))
 
 
-def _large_groups(df: DataFrame, group: Column, blocks: int) -> list[int]:
-    """Hashes of the groups above a fair task's share of rows; fewer than ``blocks``.
+def _large_groups(df: DataFrame, group: Column, tasks: int) -> list[int]:
+    """Hashes of the groups above a fair task's share of rows; fewer than ``tasks``.
 
     The counts come from a frequent-items sketch of fixed size, merged like any other
     partial aggregate. A group it misses costs time, not correctness.
     """
     safe = int(df.sparkSession.conf.get(SAFE_GROUP_ROWS_SETTING, str(SAFE_GROUP_ROWS)))
-    tracked = min(1_000_000, max(10_000, 4 * blocks))
+    tracked = min(1_000_000, max(10_000, 4 * tasks))
     found = df.select(group.alias("g")).agg(
-        F.count("*").alias("n"), F.expr(f"approx_top_k(g, {blocks}, {tracked})").alias("top")
+        F.count("*").alias("n"), F.expr(f"approx_top_k(g, {tasks}, {tracked})").alias("top")
     ).first()
-    limit = max(safe, found["n"] / blocks)
+    limit = max(safe, found["n"] / tasks)
     return [t["item"] for t in found["top"] or [] if t["count"] > limit]
 
 
@@ -277,7 +281,7 @@ def _cut(df: DataFrame, is_large: Column, descending: bool, blocks: int) -> Data
 def _quantiles(df: DataFrame, column: str, blocks: int) -> list[float]:
     fractions = [i / blocks for i in range(1, blocks)]
     found = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), fractions, max(10_000, 20 * blocks))
+        F.percentile_approx(F.col(column).cast("double"), fractions, max(10_000, 5 * blocks))
     ).first()[0]
     return [v for v in found or [] if math.isfinite(v)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, app: str = "rowtide") -> SparkSession:
@@ -36,3 +36,10 @@ def work_path(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="rowtide-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/rowtide/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` from a table in the shared folder: computed once, of known size."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
