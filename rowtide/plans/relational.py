@@ -112,20 +112,24 @@ def star_join_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, t)
         for t in ("lineitem", "orders", "customer", "supplier", "nation")
     )
-    revenue_by_nation = (
-        lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(customer, F.col("c_custkey") == F.col("o_custkey"))
-        .join(
-            supplier,
-            (F.col("s_suppkey") == F.col("l_suppkey"))
-            & (F.col("s_nationkey") == F.col("c_nationkey")),
-        )
-        .groupBy("c_nationkey")
+    located = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", "c_nationkey"
+    )
+    # Added up per nation and supplier, so that lines are shuffled for one join only.
+    pairs = (
+        lines.join(located, F.col("o_orderkey") == F.col("l_orderkey"))
+        .groupBy("c_nationkey", "l_suppkey")
         .agg(F.count("*").alias("n"), exact_sum(revenue(), 4).alias("revenue"))
     )
-    return revenue_by_nation.join(
-        nation, F.col("n_nationkey") == F.col("c_nationkey")
-    ).select("n_name", "n", "revenue")
+    at_home = (F.col("s_suppkey") == F.col("l_suppkey")) & (
+        F.col("s_nationkey") == F.col("c_nationkey")
+    )
+    totals = pairs.join(supplier, at_home).groupBy("c_nationkey").agg(
+        F.sum("n").alias("n"), F.sum("revenue").cast("decimal(38,4)").alias("revenue")
+    )
+    return totals.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        "n_name", "n", "revenue"
+    )
 
 
 @query("""

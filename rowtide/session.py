@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,19 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "rowtide") ->
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
-
-    Executors and a restarted driver must see the same files, so a machine-local
-    folder is used only where everything runs on one machine anyway.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rowtide-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder name under the shared folder that the cluster names for checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.sparkContext.master)
     return f"{base.rstrip('/')}/rowtide/{label}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_folder(master: str) -> str:
+    """Where nothing is named: a machine-local folder, if all tasks run on this machine."""
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="rowtide-")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of ``df`` from a table in the shared folder: computed once, of known size."""
     path = work_path(df.sparkSession, label)

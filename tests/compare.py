@@ -10,6 +10,9 @@ import duckdb
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# DuckDB's names of types that Spark calls otherwise; the rest differ in case only.
+TYPES = {"INTEGER": "int", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -35,6 +38,10 @@ def assert_same(spark_df: DataFrame, connection: duckdb.DuckDBPyConnection, sql:
     names = sorted(spark_df.columns)
     relation = connection.sql(sql)
     assert names == sorted(relation.columns)
+    assert {f.name: f.dataType.simpleString() for f in spark_df.schema} == {
+        name: TYPES.get(str(kind), str(kind).lower())
+        for name, kind in zip(relation.columns, relation.types)
+    }
     wanted = relation.select(*[duckdb.ColumnExpression(n) for n in names])
     got, want = counted(spark_df.select(*names).collect()), counted(wanted.fetchall())
     assert sum(got.values()) == sum(want.values())

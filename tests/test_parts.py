@@ -1,5 +1,6 @@
 """Functions, sources, set operations and the driver contract on small rows."""
 
+import tempfile
 from decimal import Decimal
 
 import pytest
@@ -10,7 +11,7 @@ from rowtide.functions.arrow import Instalments, business_days
 from rowtide.functions.columns import cents, exact_sum, micros, timestamp_from_micros
 from rowtide.operators import sets
 from rowtide.operators.aggregates import histogram
-from rowtide.session import work_path
+from rowtide.session import _local_folder, work_path
 from rowtide.sources.partitioned import read_partitioned, write_partitioned
 from rowtide.sources.tables import SCHEMAS, read_table
 
@@ -91,4 +92,10 @@ def test_partitioned_table_spreads_a_large_value(spark):
 def test_work_path_lies_in_the_named_folder(spark):
     first, second = work_path(spark, "a"), work_path(spark, "a")
     assert first != second
-    assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
+
+
+def test_a_cluster_must_name_its_folder():
+    assert _local_folder("local[8]").startswith(tempfile.gettempdir())
+    with pytest.raises(RuntimeError):
+        _local_folder("spark://host:7077")
