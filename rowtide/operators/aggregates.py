@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +25,35 @@ def exact_percentiles(
     percentile, so no task holds all values of a group as the built-in aggregate does.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    groups = order_groups(counts, keys, Order(value), costly=True).running_sum("_n", "_upto")
+    groups = order_groups(counts, keys, Order(value), bounded_by=df).running_sum("_n", "_upto")
     running = groups.result().select(*keys, value, "_n", "_upto")
-    totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(
-        F.sum("_n").alias("_total")
+
+    # Per group, the places of the two neighbours and how far between them to go.
+    at = {name: (F.sum("_n") - 1) * F.lit(Decimal(f)) for name, f in fractions.items()}
+    places = counts.groupBy(*[F.col(k).alias(f"_group_{k}") for k in keys]).agg(
+        *[F.floor(x).cast("bigint").alias(f"_{name}_low") for name, x in at.items()],
+        *[F.ceil(x).cast("bigint").alias(f"_{name}_high") for name, x in at.items()],
+        *[(x - F.floor(x)).cast("decimal(10,6)").alias(f"_{name}_rest") for name, x in at.items()],
     )
     if keys:
-        match = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
-        running = running.join(totals, match).drop(*[f"_t_{k}" for k in keys])
+        match = [F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in keys]
+        running = running.join(places, match).drop(*[f"_group_{k}" for k in keys])
     else:
-        running = running.withColumn("_total", F.lit(totals.first()["_total"]))
-
-    def covers(index: Column) -> Column:
-        return (F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)
-
-    neighbours, results = [], []
-    for name, fraction in fractions.items():
-        at = (F.col("_total") - 1).cast("decimal(20,0)") * F.lit(Decimal(fraction))
-        below = F.floor(at)
-        rest = (at - below).cast("decimal(10,6)")
-        for side, index in (("low", below), ("high", F.ceil(at))):
-            found = F.max(F.when(covers(index), F.col(value)))
-            neighbours.append(found.alias(f"_{name}_{side}"))
-        neighbours.append(F.max(rest).alias(f"_{name}_rest"))
+        place = places.first()
+        running = running.withColumns({c: F.lit(place[c]) for c in places.columns})
+
+    ends = [f"_{name}_{end}" for name in fractions for end in ("low", "high")]
+    covers = {e: (F.col("_upto") > F.col(e)) & (F.col("_upto") - F.col("_n") <= F.col(e)) for e in ends}
+    found = running.where(reduce(Column.__or__, covers.values())).groupBy(*keys).agg(
+        *[F.max(F.when(covers[e], F.col(value))).alias(e) for e in ends],
+        *[F.max(f"_{name}_rest").alias(f"_{name}_rest") for name in fractions],
+    )
+
+    def between(name: str) -> Column:
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
-        results.append((low + (high - low) * F.col(f"_{name}_rest")).alias(name))
-    return running.groupBy(*keys).agg(*neighbours).select(*keys, *results)
+        return (low + (high - low) * F.col(f"_{name}_rest")).alias(name)
+
+    return found.select(*keys, *[between(name) for name in fractions])
 
 
 def totals_by(

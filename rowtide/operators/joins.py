@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +89,10 @@ def _range_steps(
     return per_time.select(*keys, F.inline(F.array(opened, closed)))
 
 
-def _sum_steps(rows: DataFrame, keys: list[str]) -> DataFrame:
-    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step"), costly=True)
+def _sum_steps(rows: DataFrame, keys: list[str], sources: list[DataFrame]) -> DataFrame:
+    """Running sums of steps; a step stems from one row of ``sources`` or from several."""
+    bound = reduce(DataFrame.unionByName, [source.select(*keys) for source in sources])
+    groups = order_groups(rows, keys, Order("_ts", tiebreak="_step"), bounded_by=bound)
     groups = groups.running_sum("_n", "_count").running_sum("_sum", "_total")
     count = F.coalesce("_count", F.lit(0)).cast("bigint")
     total = F.when(count > 0, F.col("_total"))
@@ -113,7 +117,7 @@ def count_in_range(
     """
     steps = _range_steps(right, keys, right_ts, width_micros, value)
     asked = _boxed(left, keys, left_ts, 0)
-    found = _sum_steps(steps.unionByName(asked, allowMissingColumns=True), keys)
+    found = _sum_steps(steps.unionByName(asked, allowMissingColumns=True), keys, [left, right, right])
     return found.where("_left is not null").select(*keys, "_left.*", "range_count", "range_sum")
 
 
@@ -124,7 +128,7 @@ def trailing_sum(
 
     Equals a RANGE frame, without sending a whole group to one task.
     """
-    found = _sum_steps(_range_steps(df, keys, ts, width_micros, value), keys)
+    found = _sum_steps(_range_steps(df, keys, ts, width_micros, value), keys, [df, df])
     return found.where("_step < 0").select(
         *keys, timestamp_from_micros("_ts").alias(ts), "range_count", "range_sum"
     )

@@ -197,13 +197,16 @@ class OrderedGroups:
 
 
 def order_groups(
-    df: DataFrame, keys: list[str], order: Order, costly: bool = False
+    df: DataFrame, keys: list[str], order: Order, bounded_by: DataFrame | None = None
 ) -> OrderedGroups:
     """Group ``df`` by ``keys`` and order each group; no keys means one group of all rows.
 
     Reads the key columns once to find large groups. With one, the rows are read several
-    times more, for the block limits and for what blocks hand on; ``costly`` rows, those
-    that took a shuffle to compute, are then written and read back.
+    times more, for the block limits and for what blocks hand on.
+
+    Where rows took a shuffle to compute, ``bounded_by`` gives cheaper rows with the same
+    keys and at least as many rows in each group. They are searched first, and only if
+    they have a large group are the real rows computed early, written, and searched.
     """
     at, kind = F.col(order.column), df.schema[order.column].dataType
     if isinstance(kind, T.TimestampNTZType):
@@ -219,9 +222,11 @@ def order_groups(
 
     tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     group = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
-    large = _large_groups(df, group, tasks)
+    large = _large_groups(df if bounded_by is None else bounded_by, group, tasks)
+    if large and bounded_by is not None:
+        keyed = written(keyed, "rows")
+        large = _large_groups(keyed, group, tasks)
     if large:
-        keyed = written(keyed, "rows") if costly else keyed
         keyed = _cut(keyed, group.isin(large), order.descending, tasks * BLOCKS_PER_TASK)
     return OrderedGroups(keyed, tuple(keys), order, bool(large))
 
