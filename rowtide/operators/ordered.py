@@ -122,9 +122,9 @@ class OrderedGroups:
             name: column.over(self.window() if name == "row_number" else by_value).cast("bigint")
             for name, column in local.items()
         }
+        if tiles:
+            local["tile"] = F.ntile(tiles).over(self.window()).cast("bigint")
         if not self.split:
-            if tiles:
-                local["tile"] = F.ntile(tiles).over(self.window()).cast("bigint")
             return self._with(self.df.withColumns(local))
 
         # A block cut by the tiebreak holds a single value, so its parts share a rank.
@@ -143,18 +143,18 @@ class OrderedGroups:
             [F.count("*").alias("_rows"), (F.count_distinct("_at") + has_null).alias("_values")],
             carried,
         ).withColumns(local)
-        for name in local:
+        for name in ("row_number", "rank", "dense_rank"):
             before = F.coalesce(f"_before_{name}", F.lit(0))
             df = df.withColumn(name, F.col(name) + before).drop(f"_before_{name}")
         if tiles:
-            size = F.coalesce("_size", F.count("*").over(Window.partitionBy(*self._parts)))
-            small, larger = F.floor(size / tiles), size % tiles
+            # Only large groups, which consist of several blocks, carry a size.
+            small, larger = F.expr(f"_size div {tiles}"), F.col("_size") % tiles
             at = F.col("row_number") - 1
             edge = larger * (small + 1)
             tile = F.when(at < edge, F.floor(at / (small + 1))).otherwise(
                 larger + F.floor((at - edge) / F.greatest(small, F.lit(1)))
             )
-            df = df.withColumn("tile", (tile + 1).cast("bigint"))
+            df = df.withColumn("tile", F.coalesce((tile + 1).cast("bigint"), F.col("tile")))
         return self._with(df.drop("_size"))
 
     def previous(self, value: str, name: str) -> OrderedGroups:

@@ -15,14 +15,17 @@ from rowtide.sources.tables import SCHEMAS
 
 
 def event_stream(
-    spark: SparkSession, folder: str, files: str = "events.parquet", files_per_batch: int = 1000
+    spark: SparkSession, folder: str, files: str = "events.parquet{,}", files_per_batch: int = 1000
 ) -> DataFrame:
-    """The event files of a folder as a stream; ``ts`` in the type watermarks need."""
+    """The event table as a stream; ``ts`` in the type watermarks need.
+
+    ``files`` is a pattern, as a streamed path that is not one must be a folder, and a
+    table may be a single file.
+    """
     events = (
         spark.readStream.schema(SCHEMAS["events"])
-        .option("pathGlobFilter", files)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/{files}")
     )
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 

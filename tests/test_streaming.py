@@ -55,6 +55,17 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert [(r["window_start"].hour, r["n"], float(r["total"])) for r in rows] == [(10, 1, 1.25), (12, 3, 3.75)]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path, parts):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table = tmp_path / "events.parquet"
+    if parts == 1:
+        events.toPandas().to_parquet(table, coerce_timestamps="us", index=False)
+    else:
+        events.repartition(parts).write.parquet(str(table))
+    assert run_to_table(event_stream(spark, str(tmp_path)), "table").count() == events.count()
+
+
 def test_copies_are_dropped_within_and_across_files(spark, tmp_path):
     copies = [event(7, "2024-01-01 10:00")] * 500
     folder = write_files(tmp_path, [copies + [event(8, "2024-01-01 10:01")], copies])
