@@ -254,7 +254,7 @@ def _cut(df: DataFrame, is_large: Column, descending: bool, blocks: int) -> Data
     own, which is cut again by the tiebreak, as are the rows with no value or NaN.
     """
     large = df.where(is_large).select("_at", "_tie")
-    limits = _quantiles(large, "_at", blocks)
+    limits, rows = _quantiles(large, "_at", blocks)
     frequent = [v for v, times in Counter(limits).items() if times > 1]
     limits = sorted({*limits, *(math.nextafter(v, math.inf) for v in frequent)})
     nan_block = len(limits) + 1
@@ -269,13 +269,14 @@ def _cut(df: DataFrame, is_large: Column, descending: bool, blocks: int) -> Data
         F.col("_block").isin([nan_block, null_block, *frequent_blocks])
     )
     # Large integers and long decimals can share a double; such a block is not cut again.
-    single = [
-        row["_block"]
-        for row in held.groupBy("_block").agg(F.min("_at").eqNullSafe(F.max("_at")).alias("one")).collect()
-        if row["one"]
-    ]
-    is_single = F.col("_block").isin(single) if single else F.lit(False)
-    parts = sorted(set(_quantiles(held.where(is_single), "_tie", blocks))) if single else []
+    one_value = F.min("_at").eqNullSafe(F.max("_at"))
+    found = held.groupBy("_block").agg(F.count("*").alias("n"), one_value.alias("one")).collect()
+    single = {row["_block"]: row["n"] for row in found if row["one"]}
+    is_single = F.col("_block").isin(list(single)) if single else F.lit(False)
+    parts = []
+    if single:
+        shares = math.ceil(max(single.values()) * blocks / rows)
+        parts = sorted(set(_quantiles(held.where(is_single), "_tie", shares)[0]))
     df = _bucket(numbered(df), "_tie", parts, "_sub")
     return df.withColumns({
         "_sub": F.when(is_large, F.when(is_single, F.coalesce("_sub", F.lit(0))).otherwise(0)),
@@ -283,12 +284,12 @@ def _cut(df: DataFrame, is_large: Column, descending: bool, blocks: int) -> Data
     })
 
 
-def _quantiles(df: DataFrame, column: str, blocks: int) -> list[float]:
-    fractions = [i / blocks for i in range(1, blocks)]
-    found = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), fractions, max(10_000, 5 * blocks))
-    ).first()[0]
-    return [v for v in found or [] if math.isfinite(v)]
+def _quantiles(df: DataFrame, column: str, parts: int) -> tuple[list[float], int]:
+    """The limits of ``parts`` parts of near equal size, repeated where they coincide."""
+    fractions = [i / parts for i in range(1, parts)] or [0.5]
+    limits = F.percentile_approx(F.col(column).cast("double"), fractions, max(10_000, 5 * parts))
+    found, rows = df.agg(limits, F.count("*")).first()
+    return [v for v in found or [] if math.isfinite(v)], rows
 
 
 def _bucket(df: DataFrame, column: str, limits: list[float], name: str) -> DataFrame:
