@@ -1,6 +1,6 @@
 """Operators that prepare training data, and their queries in ``CATALOG``."""
 
-from rowtide.llm import merkle, packing, quality_classifier, quality_rules, sentencepieces, sharding, token_counts
+from rowtide.llm import jaccard_join, merkle, packing, quality_classifier, quality_rules, sentencepieces, sharding, token_counts
 from rowtide.llm.catalog import CATALOG
 
-__all__ = ["CATALOG", "merkle", "packing", "quality_classifier", "quality_rules", "sentencepieces", "sharding", "token_counts"]
+__all__ = ["CATALOG", "jaccard_join", "merkle", "packing", "quality_classifier", "quality_rules", "sentencepieces", "sharding", "token_counts"]

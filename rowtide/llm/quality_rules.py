@@ -23,6 +23,8 @@ from rowtide.session import written
 
 BLANK = r"[\x20\x09-\x0D]+"
 POSITION_BITS = 24
+# A word without letters and digits.
+BARE = r"(?<![^\\x20\\x09-\\x0D])[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+(?![^\\x20\\x09-\\x0D])"
 
 
 @dataclass(frozen=True)
@@ -39,18 +41,18 @@ class Rule:
 RULES = (
     Rule("symbols", "n_symbols > 0.10 * n_words", "n_words >= 20 AND n_symbols <= 0.02 * n_words"),
     Rule("repeated_words", "n_repeat_words > 0.35 * n_words", "n_words >= 20 AND n_repeat_words <= 0.20 * n_words"),
-    Rule("same_neighbours", "n_same_neighbours > 0.15 * n_words", "n_words >= 20 AND n_same_neighbours <= 0.03 * n_words"),
+    Rule("few_words", "n_words >= 20 AND n_distinct < 0.2 * n_words", "n_words >= 20 AND n_distinct >= 0.4 * n_words"),
     Rule("repeated_lines", "n_dup_lines > 0.5 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.2 * n_lines"),
     Rule("capitals", "n_upper > 0.5 * word_chars", "n_words >= 20 AND n_upper <= 0.15 * word_chars"),
-    Rule("letters", "n_letters < 0.8 * word_chars", "n_words >= 20 AND n_letters >= 0.9 * word_chars"),
+    Rule("marks", "n_marks > 0.2 * word_chars", "n_words >= 20 AND n_marks <= 0.1 * word_chars"),
     Rule("word_length", "word_chars > 15 * n_words", "n_words >= 20 AND word_chars BETWEEN 2.5 * n_words AND 10 * n_words"),
-    Rule("exclamations", "n_exclaimed > 0.2 * n_words", "n_words >= 20 AND n_exclaimed <= 0.05 * n_words"),
-    Rule("bare_marks", "n_words - n_lettered > 0.25 * n_words", "n_words >= 20 AND n_words - n_lettered <= 0.05 * n_words"),
+    Rule("exclamations", "n_exclaims > 0.3 * n_words", "n_words >= 20 AND n_exclaims <= 0.1 * n_words"),
+    Rule("bare_marks", "n_bare > 0.25 * n_words", "n_words >= 20 AND n_bare <= 0.05 * n_words"),
 )
 
 STATISTICS = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_neighbours", "n_upper",
-    "n_exclaimed", "n_lettered", "n_letters",
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks",
+    "n_exclaims", "n_bare",
 )
 
 
@@ -59,20 +61,26 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     Words are what stands between blanks (space, tab to carriage return). ``n_repeat_words``
     counts the words that stand in a three-word window found twice or more in the text. To
-    find those in one sort of numbers, a window is a hash with its position in the lowest
-    bits; neighbours with equal hashes are then compared word by word, so hashes never decide.
+    find those, windows are hashed. Where all hashes differ, nothing repeats. Else they are sorted
+    as numbers with the position in the lowest bits, and windows next to one with the same hash
+    are compared word by word, so that hashes never decide.
     Null texts count as empty and have zeros; columns of the added names are replaced.
     """
     base = without(df, [*STATISTICS, "words_"])
     value = free_name(base, "value")
-    words = F.filter(F.split(F.col(value), BLANK), lambda w: w != "")
+    words = F.array_remove(F.split(F.col(value), BLANK), "")
     step = base.withColumn(value, F.coalesce(F.col(text), F.lit(""))).withColumn("words_", words)
     lines = F.filter(F.split(F.col(value), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    packed, near, lined = (free_name(base, n) for n in ("packed", "near", "lined"))
+    hashed, packed, near, lined = (free_name(base, n) for n in ("hashed", "packed", "near", "lined"))
     window = "struct(words_[i], words_[i + 1], words_[i + 2])"
     small = f"size(words_) - 2 < {1 << POSITION_BITS}"
-    keys = f"sort_array(transform(sequence(0, size(words_) - 3), i -> shiftleft(shiftright(xxhash64(words_[i], words_[i + 1], words_[i + 2]), {POSITION_BITS}), {POSITION_BITS}) + i))"
-    step = step.withColumn(lined, lines).withColumn(packed, F.expr(f"CASE WHEN size(words_) < 4 OR NOT ({small}) THEN CAST(array() AS ARRAY<BIGINT>) ELSE {keys} END"))
+    single = "transform(words_, w -> xxhash64(w))"
+    step = step.withColumn(lined, lines).withColumn(hashed, F.expr(single))
+    joint = f"transform(sequence(0, size({hashed}) - 3), i -> xxhash64({hashed}[i], {hashed}[i + 1], {hashed}[i + 2]))"
+    step = step.withColumn(hashed, F.expr(f"CASE WHEN size({hashed}) < 4 THEN CAST(array() AS ARRAY<BIGINT>) ELSE {joint} END"))
+    repeats = f"size(array_distinct({hashed})) < size({hashed})"
+    keys = f"sort_array(transform({hashed}, (h, i) -> shiftleft(shiftright(h, {POSITION_BITS}), {POSITION_BITS}) + i))"
+    step = step.withColumn(packed, F.expr(f"CASE WHEN {repeats} AND {small} THEN {keys} ELSE CAST(array() AS ARRAY<BIGINT>) END"))
     bits, low = POSITION_BITS, (1 << POSITION_BITS) - 1
 
     def shared(k: str) -> str:
@@ -80,7 +88,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     # Positions whose window shares its hash with another one; in a text of 2**24 words or more, all.
     maybe = f"transform(filter({packed}, (x, k) -> {shared('k - 1')} OR {shared('k + 1')}), x -> CAST(x & {low} AS INT))"
-    step = step.withColumn(near, F.expr(f"CASE WHEN size(words_) < 4 THEN CAST(array() AS ARRAY<INT>) WHEN {small} THEN {maybe} ELSE sequence(0, size(words_) - 3) END"))
+    step = step.withColumn(near, F.expr(f"CASE WHEN size(words_) < 4 OR {small} THEN {maybe} ELSE sequence(0, size(words_) - 3) END"))
     ordered, found = free_name(base, "ordered"), free_name(base, "found")
     step = step.withColumn(ordered, F.expr(f"sort_array(transform({near}, i -> struct({window} AS w, i AS i)))"))
     same = f"coalesce(get({ordered}, k - 1).w = x.w, false) OR coalesce(get({ordered}, k + 1).w = x.w, false)"
@@ -89,16 +97,16 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     covered = f"aggregate({found}, struct(CAST(0 AS BIGINT) AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
     every = {
         "n_words": "CAST(size(words_) AS BIGINT)",
-        "word_chars": f"CAST(length(regexp_replace({value}, '[\\\\x20\\\\x09-\\\\x0D]+', '')) AS BIGINT)",
+        "word_chars": "CAST(length(array_join(words_, '')) AS BIGINT)",
         "n_symbols": f"CAST(length(regexp_replace({value}, '[^#*$%&|<>]+', '')) AS BIGINT)",
         "n_dup_lines": f"CAST(size({lined}) - size(array_distinct({lined})) AS BIGINT)",
         "n_repeat_words": covered,
         "n_lines": f"CAST(size({lined}) AS BIGINT)",
-        "n_same_neighbours": "CAST(size(filter(words_, (w, k) -> k > 0 AND w = get(words_, k - 1))) AS BIGINT)",
+        "n_distinct": "CAST(size(array_distinct(words_)) AS BIGINT)",
         "n_upper": f"CAST(length(regexp_replace({value}, '\\\\P{{Lu}}+', '')) AS BIGINT)",
-        "n_letters": f"CAST(length(regexp_replace({value}, '\\\\P{{L}}+', '')) AS BIGINT)",
-        "n_exclaimed": f"CAST(length({value}) - length(regexp_replace({value}, '![\\\\x20\\\\x09-\\\\x0D]', '_')) + CASE WHEN endswith({value}, '!') THEN 1 ELSE 0 END AS BIGINT)",
-        "n_lettered": f"CAST(size(split(regexp_replace({value}, '[^\\\\p{{L}}\\\\p{{N}}\\\\x20\\\\x09-\\\\x0D]+', ''), '[\\\\x20\\\\x09-\\\\x0D]+')) AS BIGINT)",
+        "n_marks": f"CAST(length(regexp_replace({value}, '[^!-/:-@\\\\[-`{{-~]+', '')) AS BIGINT)",
+        "n_exclaims": f"CAST(length({value}) - length(replace({value}, '!', '')) AS BIGINT)",
+        "n_bare": f"CAST(size(split({value}, '{BARE}')) - 1 AS BIGINT)",
     }
     return step.select(*base.columns, *[F.expr(sql).alias(name) for name, sql in every.items()])
 
