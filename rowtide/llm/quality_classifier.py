@@ -200,20 +200,22 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
 
 
-def quality_training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts and quality labels of the documents that may be learned from.
+def quality_training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Texts and quality labels of documents that may be learned from.
 
-    A document that is labelled more than once counts with its lowest label. The labels carry
-    ids and numbers only, so they are what is grouped; texts are joined once.
+    A document that is labelled more than once counts with its lowest label. The ids with the
+    lowest hashes are chosen among the labels alone, four for each document that is learned
+    from, as some may lack a text; so few ids go to every task, and no text is shuffled.
     """
     learned = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = learned.groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * settings.documents)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def document_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Documents with ``score``, learned from the labels that are not held out."""
-    model = learn(quality_training_rows(docs, labels), settings)
+def document_scores(docs: DataFrame, taught: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` with ``score``, learned from labelled documents of ``taught`` not held out."""
+    model = learn(quality_training_rows(taught, labels, settings), settings)
     return quality_scores(docs, model, settings)
 
 
@@ -221,5 +223,5 @@ def document_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Set
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    scored = document_scores(docs, labels)
+    scored = document_scores(docs, docs, labels)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
