@@ -11,6 +11,7 @@ Everything is built-in functions; statistics of a text are computed in its row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -164,15 +165,15 @@ def rule_accuracies(voted: DataFrame, rules: Sequence[Rule] = RULES, name: str =
 
 def quality_posterior(voted: DataFrame, rules: Sequence[Rule] = RULES, name: str = "votes") -> DataFrame:
     """Adds ``p_good``, the posterior probability that a text is good; a text on which every
-    rule abstains has the share of good texts. The model is one row, joined by broadcast."""
+    rule abstains has the share of good texts. The model is one row of a few numbers, which
+    become constants of the expression."""
     base = without(voted, ["p_good"])
-    model = rule_accuracies(base, rules, name).select(F.struct("share", "good", "bad").alias("model_"))
-    odds = F.expr(
-        f"ln(model_.share) - ln(1 - model_.share) + aggregate(sequence(0, {len(rules) - 1}), CAST(0 AS DOUBLE), (a, r) -> a + CASE {name}[r] "
-        "WHEN 1 THEN ln(model_.good[r]) - ln(1 - model_.bad[r]) WHEN 0 THEN ln(1 - model_.good[r]) - ln(model_.bad[r]) ELSE 0 END)"
-    )
-    joined = base.withColumn("one_", F.lit(1)).join(F.broadcast(model.withColumn("one_", F.lit(1))), "one_")
-    return joined.withColumn("p_good", 1 / (1 + F.exp(-odds))).drop("one_", "model_")
+    model = rule_accuracies(base, rules, name).first()
+    odds = F.lit(math.log(model["share"]) - math.log(1 - model["share"]))
+    for r, (good, bad) in enumerate(zip(model["good"], model["bad"])):
+        vote = F.col(name)[r]
+        odds += F.when(vote == 1, math.log(good) - math.log(1 - bad)).when(vote == 0, math.log(1 - good) - math.log(bad)).otherwise(0.0)
+    return base.withColumn("p_good", 1 / (1 + F.exp(-odds)))
 
 
 def base_failed() -> Column:

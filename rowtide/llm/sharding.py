@@ -113,7 +113,7 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int = 0) -> DataFr
         node = both.select("h.*").filter("size(parts) > 0")
         if level % 6 == 5:
             node = node.repartition("low")
-    return node.select(F.expr("parts[0].part").alias("part"), F.expr("transform(need, x -> CAST(x AS BIGINT))").alias("sends"))
+    return node.filter("size(parts) > 0").select(F.expr("parts[0].part").alias("part"), F.expr("transform(need, x -> CAST(x AS BIGINT))").alias("sends"))
 
 
 def _row_key(seed: int, purpose: int, columns: list[str]) -> Column:
