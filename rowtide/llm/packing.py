@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.words import WORD, Pieces, free_name, offsets, slices, texts_of, wider, with_columns, without
+from rowtide.llm.words import Pieces, free_name, offsets, slices, texts_of, wider, with_columns, without
 from rowtide.session import written
 
 CAPACITY = 4096
@@ -31,12 +31,23 @@ PARTITION_ROWS_BITS = 33  # of monotonically_increasing_id
 
 @cache
 def word_ids(path: str) -> Pieces:
-    """Ids of a tokenizer whose words end at white space: found once for every distinct word."""
+    """Ids of a tokenizer whose words end at white space: found once for every distinct word.
+
+    New words are coded as one text; a token belongs to the word that its characters are in.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Pieces(lambda words: [(c.ids,) for c in tokenizer.encode_batch_fast(words, add_special_tokens=False)], "i")
+
+    def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+        limits = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        owner = np.searchsorted(limits, starts, "right")
+        return np.bincount(owner, minlength=len(words)), np.array(coded.ids, np.int64)
+
+    return Pieces(make)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
@@ -53,7 +64,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     def run(batches):
         memory = word_ids(tokenizer)
         for batch in (part for b in batches for part in slices(b, text)):
-            counts, (ids,) = memory.numbers([WORD.findall(t) for t in texts_of(batch, text)])
+            _, counts, ids = memory.numbers(texts_of(batch, text))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1
             pieces = -(-counts // capacity)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.words import WORD, Pieces, slices, texts_of, wider, with_columns, without
+from rowtide.llm.words import Pieces, slices, texts_of, wider, with_columns, without
 
 DEAD = -1
 
@@ -89,7 +89,7 @@ def space_marked_vocabulary(path: str, space: str = "▁") -> tuple[set[str], se
 @cache
 def counter(path: str) -> tuple[Automaton, Pieces]:
     automaton = Automaton(*space_marked_vocabulary(path))
-    return automaton, Pieces(lambda words: [([automaton.count(w)],) for w in words], "q")
+    return automaton, Pieces(lambda words: (np.ones(len(words), np.int64), np.array([automaton.count(w) for w in words], np.int64)))
 
 
 def token_counts(df: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -104,9 +104,8 @@ def token_counts(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     def run(batches):
         _, memory = counter(model)
         for batch in (part for b in batches for part in slices(b, text)):
-            words = [WORD.findall(t) for t in texts_of(batch, text)]
-            sizes = np.array([len(w) for w in words], np.int64)
-            _, (counts,) = memory.numbers(words)
+            # One number per word: its tokens.
+            sizes, _, counts = memory.numbers(texts_of(batch, text))
             sums = np.concatenate([[0], np.cumsum(counts)])
             ends = np.cumsum(sizes)
             yield with_columns(batch, ["n_words", "n_tokens"], [pa.array(sizes), pa.array(sums[ends] - sums[ends - sizes])])

@@ -7,8 +7,8 @@ to result, bounded in entries, leaves one look-up per word for most of a text.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,47 +21,57 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEPT_WORDS = 400_000
 
 
+class Numbered(dict):
+    """Words and their numbers; a word that is looked up for the first time gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Pieces:
     """A list of numbers for every word, all lists end to end in one array.
 
-    ``make`` gets the words that are not known yet and returns, for each, one tuple of
-    equally long lists, one list per column.
+    ``make`` gets the words that are not known yet and returns how many numbers each of them
+    has, and the numbers. Words are bytes, as blanks of ASCII are what bytes are split at. When
+    more than ``kept`` words are known, those seen least often are forgotten.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[tuple]], columns: str = "i", kept: int = KEPT_WORDS):
-        self.make, self.kept, self.kinds = make, kept, columns
-        self.clear()
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_WORDS):
+        self.make, self.kept = make, kept
+        self._keep([], np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.columns = [array(kind) for kind in self.kinds]
-        self.ends = array("q", [0])
+    def _keep(self, words: list[bytes], counts: np.ndarray, flat: np.ndarray) -> None:
+        self.index = Numbered(zip(words, range(len(words))))
+        self.counts, self.flat, self.seen = counts, flat, np.zeros(len(words), np.int64)
 
-    def add(self, words: list[str]) -> None:
-        for word, lists in zip(words, self.make(words)):
-            self.index[word] = len(self.ends) - 1
-            for column, values in zip(self.columns, lists):
-                column.extend(values)
-            self.ends.append(len(self.columns[0]))
+    def _forget(self) -> None:
+        least = 2
+        while ((often := self.seen >= least).sum()) * 2 > self.kept:
+            least *= 2
+        chosen = self.flat[np.repeat(often, self.counts)]
+        self._keep([w for w, keep in zip(self.index, often.tolist()) if keep], self.counts[often], chosen)
 
-    def numbers(self, texts: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For lists of words: how many numbers each list has, and the columns end to end."""
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words and numbers per text, and all texts' numbers end to end."""
         if len(self.index) > self.kept:
-            self.clear()
-        index = self.index
-        for words in texts:
-            if new := [w for w in dict.fromkeys(words) if w not in index]:
-                self.add(new)
-        at = np.fromiter((index[w] for words in texts for w in words), np.int64, sum(map(len, texts)))
-        ends = np.frombuffer(self.ends, np.int64).copy()
-        columns = [np.array(c, copy=True) for c in self.columns]
-        counts = (ends[1:] - ends[:-1])[at] if len(at) else np.zeros(0, np.int64)
-        total = int(counts.sum())
-        before = np.cumsum(counts) - counts
-        flat = np.repeat(ends[:-1][at] - before, counts) + np.arange(total) if total else np.zeros(0, np.int64)
-        word_ends = np.concatenate([[0], np.cumsum([len(w) for w in texts])]).astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        return np.diff(sums[word_ends]), [c[flat] for c in columns]
+            self._forget()
+        known = len(self.index)
+        words = [t.encode().split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        if len(self.index) > known:
+            new = [w.decode() for w in islice(self.index, known, None)]
+            counts, flat = self.make(new)
+            self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        starts = np.cumsum(self.counts) - self.counts
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        flat = self.flat[np.repeat(starts[at] - ends + counts, counts) + np.arange(int(counts.sum()))]
+        sums = np.concatenate([[0], ends])
+        return sizes, np.diff(sums[offsets(sizes)]), flat
 
 
 def offsets(counts: np.ndarray) -> np.ndarray:
