@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.words import free_name, wider, with_columns, without
+from rowtide.llm.words import free_name, slices, wider, with_columns, without
 
 # A leaf: up to a line's or a sentence's end, or else the first word's end from 24 characters on.
 LEAF = re.compile(r"[^\n]{1,40}?[.!?](?:\n|(?=\s|$))|[^\n]{24}[^\s]{0,40}\s?|[^\n]+\n?|\n")
 LEAF_DIGITS, SECTION_DIGITS = 8, 16
 # One paragraph in so many closes its section.
 SECTION_PARAGRAPHS = 8
+SLICE = 500_000  # characters that a task handles at once
 
 
 def fingerprint(text: str) -> str:
@@ -118,7 +119,7 @@ def merkle_fingerprints(df: DataFrame, text: str = "text", name: str = "fingerpr
     base = without(df, [name])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text, SLICE)):
             prints = [fingerprint(t or "") for t in batch.column(text).to_pylist()]
             yield with_columns(batch, [name], [pa.array(prints, pa.string())])
 
@@ -180,7 +181,7 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_print = None, ""
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text, SLICE)):
             rows = batch if held is None else pa.concat_batches([held, batch])
             texts = [t or "" for t in rows.column(text).to_pylist()]
             runs, guests = rows.column(run).to_pylist(), rows.column(guest).to_pylist()
