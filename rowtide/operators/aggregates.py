@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from decimal import Decimal
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowtide.operators.ordered import Order, order_groups
 
@@ -76,23 +72,12 @@ def totals_by(
 def histogram(
     df: DataFrame, keys: list[str], value: str, low: float, width: float, bins: int
 ) -> DataFrame:
-    """Count values per key and equal-width bin with a Python partial aggregate.
+    """Count values per key and equal-width bin.
 
-    Each task keeps one count vector per key of the current Arrow batch, and Spark adds
-    the partial counts up, so no group is gathered in one task. Values outside the bins
-    fall into the first or last one.
+    Values outside the bins fall into the first or last one; nulls and NaN into none.
     """
-
-    def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]).filter(pc.is_valid(batch[value]))
-            place = np.floor((rows[value].to_numpy() - low) / width)
-            place = np.clip(place, 0, bins - 1).astype("int64")
-            rows = rows.drop_columns([value]).append_column("bin", pa.array(place))
-            counts = rows.group_by([*keys, "bin"]).aggregate([([], "count_all")])
-            yield from counts.rename_columns([*keys, "bin", "n"]).to_batches()
-
-    narrow = df.select(*keys, F.col(value).cast("double").alias(value))
-    partial = narrow.select(*keys).schema.add("bin", T.LongType()).add("n", T.LongType())
-    counted = narrow.mapInArrow(count_batches, partial)
-    return counted.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    number = F.col(value).cast("double")
+    place = F.least(F.greatest((number - low) / width, F.lit(0.0)), F.lit(bins - 1.0))
+    known = df.where(number.isNotNull() & ~F.isnan(number))
+    binned = known.select(*keys, F.floor(place).cast("bigint").alias("bin"))
+    return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -46,9 +46,9 @@ def as_of_join(
 
     Of right rows at one time, the one with the largest ``tiebreak`` (an integer below
     2**62) counts. Both sides are stacked and each left row takes the last right row
-    before it: one shuffle, and no pairs.
+    before it: one shuffle, and no pairs. As in any join, a null key matches nothing.
     """
-    known = right.where(F.col(right_ts).isNotNull()).select(
+    known = _with_keys(right, [*keys, right_ts]).select(
         *keys,
         micros(right_ts).alias("_ts"),
         F.col(tiebreak).cast("bigint").alias("_step"),
@@ -60,6 +60,10 @@ def as_of_join(
     return found.select(*keys, "_left.*", *[F.col("_found")[v].alias(v) for v in values])
 
 
+def _with_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    return reduce(lambda rows, c: rows.where(F.col(c).isNotNull()), columns, df)
+
+
 def _boxed(left: DataFrame, keys: list[str], ts: str, after: int) -> DataFrame:
     """Left rows as one struct column, placed after the other rows of their time.
 
@@ -75,7 +79,7 @@ def _range_steps(
 ) -> DataFrame:
     """Per key and time, counts and sums to add then and to take off after the width."""
     per_time = (
-        right.where(F.col(ts).isNotNull())
+        _with_keys(right, [ts])
         .groupBy(*keys, micros(ts).alias("_ts"))
         .agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
     )
@@ -113,9 +117,9 @@ def count_in_range(
     A right row adds to a running sum at its time and is taken off after the width; a
     left row reads the sum in between. The work grows with the rows, not the pairs.
     Right rows of one time are added up before the shuffle. ``value`` must be exact
-    (integer or decimal), since what is added is subtracted again.
+    (integer or decimal), since what is added is subtracted again. A null key matches nothing.
     """
-    steps = _range_steps(right, keys, right_ts, width_micros, value)
+    steps = _range_steps(_with_keys(right, keys), keys, right_ts, width_micros, value)
     asked = _boxed(left, keys, left_ts, 0)
     found = _sum_steps(steps.unionByName(asked, allowMissingColumns=True), keys, [left, right, right])
     return found.where("_left is not null").select(*keys, "_left.*", "range_count", "range_sum")

@@ -98,7 +98,12 @@ class OrderedGroups:
         return self._with(self.df.withColumn(name, column))
 
     def running_sum(self, value: str, name: str) -> OrderedGroups:
-        """Sum of ``value`` over the group's rows up to and including this one."""
+        """Sum of ``value`` over the group's rows up to and including this one.
+
+        Floating-point values are refused: their sum would depend on where a group is cut.
+        """
+        if self.df.select(value).schema[0].dataType.typeName() in ("float", "double"):
+            raise TypeError(f"running_sum needs exact values, and {value} is floating-point")
         local = F.sum(value).over(self.window().rowsBetween(FIRST, 0))
         if not self.split:
             return self.with_column(name, local)

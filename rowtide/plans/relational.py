@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.columns import cents, exact_sum, money, revenue
 from rowtide.operators.aggregates import exact_percentiles, totals_by
-from rowtide.operators.sets import except_all, intersect_all
 from rowtide.plans.catalog import query
 from rowtide.session import work_path
 from rowtide.sources.partitioned import read_partitioned, write_partitioned
@@ -231,8 +230,9 @@ def approximate_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"{column}_close"
         )
 
-    return estimate.join(merged, "event_type").select(
-        "event_type", "users", close("estimate"), close("merged")
+    same = estimate["event_type"].eqNullSafe(merged["event_type"])
+    return estimate.join(merged, same).select(
+        estimate["event_type"], "users", close("estimate"), close("merged")
     )
 
 
@@ -405,7 +405,7 @@ def intersect_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def intersect_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _keys(spark, sf_dir, "customer", "c_nationkey", "nationkey")
-    return intersect_all(customers, _keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))
+    return customers.intersectAll(_keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))
 
 
 @query("""
@@ -421,4 +421,4 @@ def except_order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def except_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _keys(spark, sf_dir, "customer", "c_nationkey", "nationkey")
-    return except_all(customers, _keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))
+    return customers.exceptAll(_keys(spark, sf_dir, "supplier", "s_nationkey", "nationkey"))

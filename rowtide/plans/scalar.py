@@ -1,11 +1,11 @@
-"""Scalar, array, map and JSON functions, and Python functions on Arrow batches."""
+"""Scalar, array, map, JSON and calendar functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.functions.arrow import Instalments, business_days
+from rowtide.functions.calendar import business_days, instalments
 from rowtide.functions.columns import cents, exact_sum
 from rowtide.operators.aggregates import histogram
 from rowtide.plans.catalog import query
@@ -169,7 +169,7 @@ def business_days_to_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
     joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    # Python sees each pair of days once per priority, not once per line.
+    # Each pair of days is looked at once per priority, not once per line.
     pairs = joined.groupBy(
         "o_orderpriority",
         F.to_date("o_orderdate").alias("ordered"),
@@ -210,5 +210,5 @@ def order_instalments(spark: SparkSession, sf_dir: str) -> DataFrame:
         cents("o_totalprice").alias("cents"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("parts"),
     )
-    due = Instalments(orders.asTable())
+    due = instalments(orders)
     return due.withColumnRenamed("id", "o_orderkey")

@@ -15,18 +15,19 @@ from rowtide.sources.tables import SCHEMAS
 
 
 def event_stream(
-    spark: SparkSession, folder: str, files: str = "events.parquet{,}", files_per_batch: int = 1000
+    spark: SparkSession, folder: str, files: str = "events.parquet{,}", files_per_batch: int | None = None
 ) -> DataFrame:
     """The event table as a stream; ``ts`` in the type watermarks need.
 
     ``files`` is a pattern, as a streamed path that is not one must be a folder, and a
-    table may be a single file.
+    table may be a single file. All files there are form one batch, unless ``files_per_batch``
+    asks for more batches: the watermark then moves between them, and rows that come later
+    than it allows are dropped.
     """
-    events = (
-        spark.readStream.schema(SCHEMAS["events"])
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(f"{folder}/{files}")
-    )
+    reader = spark.readStream.schema(SCHEMAS["events"])
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    events = reader.parquet(f"{folder}/{files}")
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

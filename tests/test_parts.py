@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rowtide.functions.arrow import Instalments, business_days
+from rowtide.functions.calendar import business_days, instalments
 from rowtide.functions.columns import cents, exact_sum, micros, timestamp_from_micros
-from rowtide.operators import sets
+from rowtide.operators.ordered import Order, order_groups
 from rowtide.operators.aggregates import histogram
 from rowtide.session import _local_folder, work_path
 from rowtide.sources.partitioned import read_partitioned, write_partitioned
@@ -57,7 +57,7 @@ def test_business_days(spark):
 
 def test_instalments_add_up(spark):
     asked = spark.createDataFrame([(1, 100, 3), (2, 7, 1), (3, 5, 0)], "id long, cents long, parts int")
-    rows = Instalments(asked.asTable()).collect()
+    rows = instalments(asked).collect()
     assert sorted(map(tuple, rows)) == [(1, 1, 34), (1, 2, 33), (1, 3, 33), (2, 1, 7)]
 
 
@@ -67,13 +67,17 @@ def test_histogram_clips_and_skips_nulls(spark):
     assert got == sorted(["Row(k='a', bin=0, n=2)", "Row(k='a', bin=2, n=1)", "Row(k=None, bin=1, n=1)"])
 
 
-@pytest.mark.parametrize("copies_per_row", [2, 1_000_000])
-def test_set_operations_with_copies_and_nulls(spark, monkeypatch, copies_per_row):
-    monkeypatch.setattr(sets, "COPIES_PER_ROW", copies_per_row)
-    left = spark.createDataFrame([(1,)] * 7 + [(2,)] * 2 + [(None,)] * 3, "v int")
-    right = spark.createDataFrame([(1,)] * 4 + [(3,)] + [(None,)] * 2, "v int")
-    for ours, spark_own in ((sets.intersect_all, left.intersectAll(right)), (sets.except_all, left.exceptAll(right))):
-        assert sorted(map(str, ours(left, right).collect())) == sorted(map(str, spark_own.collect()))
+def test_running_sum_refuses_floating_point(spark):
+    df = spark.createDataFrame([(1, 1, 0.5)], "k int, o int, v double")
+    with pytest.raises(TypeError):
+        order_groups(df, ["k"], Order("o")).running_sum("v", "s")
+
+
+def test_instalments_and_histogram_skip_missing_values(spark):
+    asked = spark.createDataFrame([(1, None, 3), (2, 7, None), (None, 5, 1)], "id long, cents long, parts int")
+    assert [tuple(r) for r in instalments(asked).collect()] == [(None, 1, 5)]
+    df = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),)], "v double")
+    assert [tuple(r) for r in histogram(df, [], "v", 0.0, 1.0, 3).collect()] == [(2, 1)]
 
 
 def test_partitioned_table_spreads_a_large_value(spark):

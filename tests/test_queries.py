@@ -1,8 +1,7 @@
-"""Every registered query against DuckDB, also with all groups counted as large."""
+"""Every registered query against DuckDB."""
 
 import pytest
 
-from rowtide.operators.ordered import SAFE_GROUP_ROWS_SETTING
 from rowtide.plans import CATALOG
 from tests.compare import assert_same, duck
 
