@@ -34,11 +34,11 @@ FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 @dataclass(frozen=True)
 class Order:
-    """Order of the rows in a group: one number or timestamp column, then a number.
+    """Order of the rows in a group: one number, date or timestamp column, then a number.
 
     ``tiebreak`` must tell rows of equal ``column`` apart wherever the calculation
-    depends on their order. Nulls come first ascending and last descending; NaN comes
-    last in both.
+    depends on their order. As in any Spark window, nulls come first ascending and last
+    descending, and NaN is above all numbers.
     """
 
     column: str
@@ -57,14 +57,25 @@ class OrderedGroups:
     def _parts(self) -> list[str]:
         return [*self.keys, "_block", "_sub"] if self.split else list(self.keys)
 
-    def _sort(self) -> list[Column]:
-        nulls_first = not self.order.descending
+    def _by_value(self) -> list[Column]:
         column = F.col("_at")
-        return [column.asc_nulls_first() if nulls_first else column.asc_nulls_last(), F.col("_tie")]
+        if not self.order.descending:
+            return [column.asc_nulls_first()]
+        # ``_at`` rises as the order goes down, save for NaN, which comes first.
+        nan_first = [F.isnan(column).desc()] if self._floating() else []
+        return [*nan_first, column.asc_nulls_last()]
+
+    def _floating(self) -> bool:
+        return isinstance(self.df.schema["_at"].dataType, (T.FloatType, T.DoubleType))
+
+    def _sort(self) -> list[Column]:
+        return [*self._by_value(), F.col("_tie")]
 
     def _sort_value(self) -> Column:
-        null_rank = F.col("_at").isNull().cast("int") * (1 if self.order.descending else -1)
-        return F.struct(null_rank.alias("n"), "_at", "_tie")
+        rank = F.col("_at").isNull().cast("int") * (1 if self.order.descending else -1)
+        if self.order.descending and self._floating():
+            rank = rank - F.isnan("_at").cast("int")
+        return F.struct(rank.alias("n"), "_at", "_tie")
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self._parts).orderBy(*self._sort())
@@ -122,7 +133,7 @@ class OrderedGroups:
         differ by one at most, the larger ones first.
         """
         local = {"row_number": F.row_number(), "rank": F.rank(), "dense_rank": F.dense_rank()}
-        by_value = Window.partitionBy(*self._parts).orderBy(self._sort()[0])
+        by_value = Window.partitionBy(*self._parts).orderBy(*self._by_value())
         local = {
             name: column.over(self.window() if name == "row_number" else by_value).cast("bigint")
             for name, column in local.items()
@@ -218,10 +229,14 @@ def order_groups(
         at = micros(at)
     elif isinstance(kind, T.TimestampType):
         at = F.unix_micros(at)
+    elif isinstance(kind, T.DateType):
+        at = F.unix_date(at)
     elif not isinstance(kind, T.NumericType):
-        raise TypeError(f"{order.column} is {kind.simpleString()}, not a number or timestamp")
+        raise TypeError(f"{order.column} is {kind.simpleString()}, not a number, date or timestamp")
     if order.descending:
-        at = -at
+        # The complement of an integer turns the order round and cannot overflow.
+        fractional = isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
+        at = -at if fractional else F.bitwise_not(at)
     tie = F.col(order.tiebreak) if order.tiebreak else F.lit(0)
     keyed = df.withColumns({"_at": at, "_tie": tie})
 
@@ -256,14 +271,14 @@ def _cut(df: DataFrame, is_large: Column, descending: bool, blocks: int) -> Data
 
     Limits are quantiles over the large groups, so no block holds much more than one
     ``blocks``-th of their rows. A value met at several quantiles gets a block of its
-    own, which is cut again by the tiebreak, as are the rows with no value or NaN.
+    own, which is cut again by its own tiebreak, as are the rows with no value or NaN.
     """
     large = df.where(is_large).select("_at", "_tie")
-    limits, rows = _quantiles(large, "_at", blocks)
-    frequent = [v for v, times in Counter(limits).items() if times > 1]
-    limits = sorted({*limits, *(math.nextafter(v, math.inf) for v in frequent)})
-    nan_block = len(limits) + 1
-    null_block = nan_block + 1 if descending else -1
+    # Half shares find every value that has a whole one; limits are at whole shares.
+    halves, rows = _quantiles(large, "_at", 2 * blocks)
+    frequent = [v for v, times in Counter(halves).items() if times > 1]
+    limits = sorted({*halves[1::2], *frequent, *(math.nextafter(v, math.inf) for v in frequent)})
+    nan_block, null_block = len(limits) + 1, -1
 
     def numbered(rows: DataFrame) -> DataFrame:
         rows = _bucket(rows, "_at", limits, "_block")
@@ -275,17 +290,35 @@ def _cut(df: DataFrame, is_large: Column, descending: bool, blocks: int) -> Data
     )
     # Large integers and long decimals can share a double; such a block is not cut again.
     one_value = F.min("_at").eqNullSafe(F.max("_at"))
-    found = held.groupBy("_block").agg(F.count("*").alias("n"), one_value.alias("one")).collect()
-    single = {row["_block"]: row["n"] for row in found if row["one"]}
+    tie = F.col("_tie").cast("double")
+    ties = F.when(~F.isnan(tie), tie)
+    found = held.groupBy("_block").agg(
+        F.count("*").alias("n"), one_value.alias("one"), F.min(ties).alias("low"), F.max(ties).alias("high")
+    ).collect()
+    single = {row["_block"]: row for row in found if row["one"]}
     is_single = F.col("_block").isin(list(single)) if single else F.lit(False)
-    parts = []
+    df = numbered(df)
     if single:
-        shares = math.ceil(max(single.values()) * blocks / rows)
-        parts = sorted(set(_quantiles(held.where(is_single), "_tie", shares)[0]))
-    df = _bucket(numbered(df), "_tie", parts, "_sub")
+        # A place is the block and how far the tiebreak is between its own least and greatest,
+        # so that equal shares of all places cut each value by its own ties.
+        every = [single.get(block) for block in range(null_block, nan_block + 1)]
+        lows = F.lit([r["low"] if r and r["low"] is not None else 0.0 for r in every])
+        spans = F.lit([(r["high"] - r["low"] if r and r["low"] is not None else 0.0) or 1.0 for r in every])
+        at = F.col("_block") - null_block
+        along = F.coalesce((tie - F.get(lows, at)) / F.get(spans, at), F.lit(0.0))
+        place = F.col("_block") + along * 0.999
+        shares = math.ceil(sum(r["n"] for r in single.values()) * blocks / rows)
+        parts = sorted(set(_quantiles(held.where(is_single).select(place.alias("_place")), "_place", shares)[0]))
+        df = _bucket(df.withColumn("_place", place), "_place", parts, "_sub").drop("_place")
+    else:
+        df = df.withColumn("_sub", F.lit(0))
+    block = F.col("_block")
+    if descending:
+        # NaN comes first and nulls last.
+        block = F.when(block == nan_block, -1).when(block == null_block, nan_block).otherwise(block)
     return df.withColumns({
         "_sub": F.when(is_large, F.when(is_single, F.coalesce("_sub", F.lit(0))).otherwise(0)),
-        "_block": F.when(is_large, F.col("_block")),
+        "_block": F.when(is_large, block),
     })
 
 

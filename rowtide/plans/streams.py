@@ -5,6 +5,8 @@ A window still open when the input ends is not emitted, and the SQL leaves it ou
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def stream_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE v.event_type = 'view' AND p.event_type = 'purchase'
 """)
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = followed_by(event_stream(spark, sf_dir), "view", "purchase", "6 HOURS", DELAY)
+    pairs = followed_by(event_stream(spark, sf_dir), "view", "purchase", timedelta(hours=6), DELAY)
     return run_to_table(pairs, "pairs")
 
 

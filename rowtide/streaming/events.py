@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,28 +37,35 @@ def window_totals(stream: DataFrame, keys: list[str], window: Column, delay: str
 
 
 def followed_by(
-    stream: DataFrame, first: str, second: str, within: str, delay: str, salts: int = 8
+    stream: DataFrame, first: str, second: str, within: timedelta, delay: str
 ) -> DataFrame:
     """Pairs of one user's ``first`` event and a ``second`` event at most ``within`` later.
 
-    Each ``first`` event is kept under one of ``salts`` numbers and each ``second`` one
-    under all, so the state of one busy user is spread over that many tasks.
+    Events meet by user and by a bucket of time as wide as ``within``: a ``first`` event is
+    kept under its own bucket and the next one, a ``second`` one under its own. The state of
+    a busy user is thus spread over time, in two copies whatever the cluster. Events
+    without a user or a time meet nothing.
     """
     stream = stream.select("event_id", "ts", "user_id", "event_type").withWatermark("ts", delay)
-    earlier = stream.where(F.col("event_type") == first).select(
+    width = max(within // timedelta(microseconds=1), 1)
+
+    def bucket(ts: str) -> Column:
+        return F.expr(f"(unix_micros({ts}) - pmod(unix_micros({ts}), {width})) div {width}")
+
+    earlier = stream.where((F.col("event_type") == first) & F.col("ts").isNotNull()).select(
         F.col("user_id"),
         F.col("event_id").alias("first_id"),
         F.col("ts").alias("first_ts"),
-        F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int").alias("salt"),
+        F.explode(F.array(bucket("ts"), bucket("ts") + 1)).alias("bucket"),
     )
-    later = stream.where(F.col("event_type") == second).select(
+    later = stream.where((F.col("event_type") == second) & F.col("ts").isNotNull()).select(
         F.col("user_id").alias("second_user"),
         F.col("event_id").alias("second_id"),
         F.col("ts").alias("second_ts"),
-        F.explode(F.array(*map(F.lit, range(salts)))).alias("second_salt"),
+        bucket("ts").alias("second_bucket"),
     )
-    near = F.expr(f"second_ts >= first_ts AND second_ts <= first_ts + INTERVAL {within}")
-    same = (F.col("user_id") == F.col("second_user")) & (F.col("salt") == F.col("second_salt"))
+    near = (F.col("second_ts") >= F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.lit(within))
+    same = (F.col("user_id") == F.col("second_user")) & (F.col("bucket") == F.col("second_bucket"))
     return earlier.join(later, same & near, "inner").select(
         "user_id",
         "first_id",
@@ -77,11 +86,11 @@ def complete_days(stream: DataFrame, steps: list[str], delay: str) -> DataFrame:
     """One row per user and day as soon as all ``steps`` were seen, in any order.
 
     A windowed aggregate would report a day only after it closes, or over and over in
-    update mode; the state here reports it once, at once. Per user it holds the steps
-    seen on each day that the watermark has not passed.
+    update mode; the state here reports it once, at once. It holds the steps seen by one
+    user on one day, as one number, until the watermark has passed the day.
     """
     bits = F.create_map(*[F.lit(v) for i, step in enumerate(steps) for v in (step, 1 << i)])
-    days = stream.where(F.col("event_type").isin(steps)).select(
+    days = stream.where(F.col("event_type").isin(steps) & F.col("ts").isNotNull()).select(
         "user_id",
         F.unix_date(F.to_date("ts")).cast("bigint").alias("day"),
         bits[F.col("event_type")].cast("bigint").alias("step"),
@@ -94,26 +103,27 @@ def complete_days(stream: DataFrame, steps: list[str], delay: str) -> DataFrame:
     def update(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        seen = dict(zip(*state.get)) if state.exists else {}
-        done = {day for day, bits in seen.items() if bits == complete}
-        for frame in [] if state.hasTimedOut else frames:
-            for day, step in zip(frame["day"].tolist(), frame["step"].tolist()):
-                seen[day] = seen.get(day, 0) | step
-        found = [day for day, bits in seen.items() if bits == complete and day not in done]
-        if found:
-            yield pd.DataFrame({"user_id": key[0], "day": found})
-        passed = state.getCurrentWatermarkMs()
-        seen = {day: bits for day, bits in seen.items() if (day + 1) * DAY_MS > passed}
-        if seen:
-            state.update((list(seen), list(seen.values())))
-            state.setTimeoutTimestamp((min(seen) + 1) * DAY_MS)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        user, day = key
+        before = state.get[0] if state.exists else 0
+        seen = before
+        for frame in frames:
+            seen |= int(np.bitwise_or.reduce(frame["step"].to_numpy()))
+        if seen == complete and before != complete:
+            yield pd.DataFrame({"user_id": [user], "day": [day]})
+        end = (int(day) + 1) * DAY_MS
+        if end > state.getCurrentWatermarkMs():
+            state.update((seen,))
+            state.setTimeoutTimestamp(end)
         elif state.exists:
             state.remove()
 
-    found = days.groupBy("user_id").applyInPandasWithState(
+    found = days.groupBy("user_id", "day").applyInPandasWithState(
         update,
         "user_id bigint, day bigint",
-        "days array<bigint>, seen array<bigint>",
+        "seen bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -1,8 +1,10 @@
 """A third of the rows under one key, ties and nulls: the block path against SQL."""
 
+from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowtide.operators.aggregates import exact_percentiles
@@ -89,6 +91,34 @@ def test_no_block_holds_much_more_than_its_share(spark, any_size_is_large):
     assert sizes.agg(F.max("count")).first()[0] <= 1.5 * rows.count() / 8
 
 
+@pytest.mark.parametrize("values", [4, 8, 32])
+def test_frequent_values_are_cut_by_their_own_ties(spark, any_size_is_large, values):
+    rows = spark.range(16_000).select(
+        F.lit(1).alias("key"), F.expr(f"id div {16_000 // values}").alias("value"), "id"
+    )
+    groups = order_groups(rows, ["key"], Order("value", tiebreak="id"))
+    sizes = groups.df.groupBy("_block", "_sub").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1.5 * 16_000 / 32
+
+
+@pytest.mark.parametrize("safe", ["0", "1000000000"])
+def test_descending_order_is_that_of_a_window(spark, safe):
+    spark.conf.set(SAFE_GROUP_ROWS_SETTING, safe)
+    try:
+        least, numbers = -(1 << 63), [1.5, None, float("nan"), float("-inf"), 2.5]
+        rows = spark.createDataFrame(
+            [(1, i, least + i % 3, numbers[i % 5], date(2024, 1, 1 + i % 4)) for i in range(60)],
+            "key int, id bigint, whole bigint, number double, day date",
+        )
+        for column in ("whole", "number", "day"):
+            order = Window.partitionBy("key").orderBy(F.desc(column))
+            ranked = order_groups(rows, ["key"], Order(column, True, "id")).ranks().result()
+            expected = rows.select("id", F.rank().over(order).alias("rank"))
+            assert sorted(ranked.select("id", "rank").collect()) == sorted(expected.collect())
+    finally:
+        spark.conf.unset(SAFE_GROUP_ROWS_SETTING)
+
+
 def test_values_that_share_a_double_keep_their_order(spark, any_size_is_large):
     big = 1 << 60
     rows = spark.range(400).select(
