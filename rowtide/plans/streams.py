@@ -1,7 +1,4 @@
-"""Event-time queries: each one runs a stream over the event files to its end.
-
-A window still open when the input ends is not emitted, and the SQL leaves it out too.
-"""
+"""Event-time queries: each one runs a stream over the event files to its end."""
 
 from __future__ import annotations
 
@@ -11,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.plans.catalog import query
+from rowtide.session import work_path
 from rowtide.streaming.events import (
     LOCAL_SESSIONS,
     complete_days,
@@ -18,10 +16,9 @@ from rowtide.streaming.events import (
     followed_by,
     window_totals,
 )
-from rowtide.streaming.sources import event_stream, run_to_table
+from rowtide.streaming.sources import event_stream, run_to_end, run_to_table
 
 DELAY = "1 hour"
-CLOSED = "(SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)"
 TOTALS = "COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS total"
 
 
@@ -34,14 +31,14 @@ def stream_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     SELECT event_type, CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS window_start,
            CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, {TOTALS}
-    FROM events
-    WHERE DATE_TRUNC('day', ts) + INTERVAL 1 DAY <= {CLOSED}
+    FROM events WHERE ts IS NOT NULL
     GROUP BY 1, 2, 3
 """)
 def stream_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = F.window("ts", "1 day")
-    totals = window_totals(event_stream(spark, sf_dir), ["event_type"], window, DELAY)
-    return run_to_table(totals, "tumbling")
+    end = work_path(spark, "tumbling-end")
+    totals = window_totals(event_stream(spark, sf_dir, end=end), ["event_type"], window, DELAY)
+    return run_to_end(totals, "tumbling", end)
 
 
 @query(f"""
@@ -49,33 +46,33 @@ def stream_tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT event_type, value,
                  TIME_BUCKET(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01')
                  - INTERVAL 6 HOURS * UNNEST(RANGE(4)) AS window_start
-          FROM events)
-    WHERE window_start + INTERVAL 1 DAY <= {CLOSED}
+          FROM events WHERE ts IS NOT NULL)
     GROUP BY 1, 2, 3
 """)
 def stream_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = F.window("ts", "1 day", "6 hours")
-    totals = window_totals(event_stream(spark, sf_dir), ["event_type"], window, DELAY)
-    return run_to_table(totals, "sliding")
+    end = work_path(spark, "sliding-end")
+    totals = window_totals(event_stream(spark, sf_dir, end=end), ["event_type"], window, DELAY)
+    return run_to_end(totals, "sliding", end)
 
 
 @query(f"""
     WITH marked AS (
         SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
                             <= INTERVAL 4 HOURS THEN 0 ELSE 1 END AS starts
-        FROM events),
+        FROM events WHERE ts IS NOT NULL),
     numbered AS (
         SELECT *, SUM(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id
                                     ROWS UNBOUNDED PRECEDING) AS session_no
         FROM marked)
     SELECT user_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 4 HOURS AS window_end, {TOTALS}
     FROM numbered GROUP BY user_id, session_no
-    HAVING MAX(ts) + INTERVAL 4 HOURS <= {CLOSED}
 """)
 def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = F.session_window("ts", "4 hours")
-    totals = window_totals(event_stream(spark, sf_dir), ["user_id"], window, DELAY)
-    return run_to_table(totals, "sessions", LOCAL_SESSIONS)
+    end = work_path(spark, "sessions-end")
+    totals = window_totals(event_stream(spark, sf_dir, end=end), ["user_id"], window, DELAY)
+    return run_to_end(totals, "sessions", end, LOCAL_SESSIONS)
 
 
 @query("SELECT * FROM events")

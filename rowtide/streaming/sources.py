@@ -9,28 +9,38 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rowtide.session import work_path
 from rowtide.sources.tables import SCHEMAS
 
 
 def event_stream(
-    spark: SparkSession, folder: str, files: str = "events.parquet{,}", files_per_batch: int | None = None
+    spark: SparkSession,
+    folder: str,
+    files: str = "events.parquet{,}",
+    files_per_batch: int | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """The event table as a stream; ``ts`` in the type watermarks need.
 
     ``files`` is a pattern, as a streamed path that is not one must be a folder, and a
     table may be a single file. All files there are form one batch, unless ``files_per_batch``
     asks for more batches: the watermark then moves between them, and rows that come later
-    than it allows are dropped.
+    than it allows are dropped. ``end`` names the folder in which ``run_to_end`` tells the
+    stream that no more rows come.
     """
     reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     events = reader.parquet(f"{folder}/{files}")
+    if end:
+        events = events.union(reader.parquet(f"{end}/*.parquet"))
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+END_OF_TIME = "9999-12-31 00:00:00"
+
 # Keeps state on local disk with a copy in the checkpoint, so it may outgrow memory.
 STATE_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -44,14 +54,34 @@ def run_to_table(stream: DataFrame, label: str, settings: dict[str, str] | None
     Output and checkpoint lie in the shared folder, so tasks that are lost run again
     from there. ``settings`` hold for this stream only.
     """
-    spark = stream.sparkSession
-    path = work_path(spark, label)
-    with _settings(spark, {**STATE_ON_DISK, **(settings or {})}):
+    path = work_path(stream.sparkSession, label)
+    _process(stream, path, settings)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def run_to_end(stream: DataFrame, label: str, end: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """As ``run_to_table``, with the windows that are still open when the input ends.
+
+    Once all input is processed, one event later than any other is put into ``end``, the
+    folder that ``event_stream`` was given, and the stream goes on from its checkpoint: the
+    watermark passes every window but that event's own, which therefore never is a result.
+    The stream is over then, as whatever comes later is late.
+    """
+    path = work_path(stream.sparkSession, label)
+    _process(stream, path, settings)
+    last = {"ts": F.lit(END_OF_TIME)}
+    columns = [last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS["events"])]
+    stream.sparkSession.range(1).select(*columns).write.parquet(end)
+    _process(stream, path, settings)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _process(stream: DataFrame, path: str, settings: dict[str, str] | None) -> None:
+    with _settings(stream.sparkSession, {**STATE_ON_DISK, **(settings or {})}):
         writer = stream.writeStream.outputMode("append").format("parquet")
         writer = writer.option("checkpointLocation", f"{path}/checkpoint")
         run = writer.trigger(availableNow=True).start(f"{path}/rows")
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @contextmanager

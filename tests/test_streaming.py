@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtide.streaming.events import complete_days, distinct_events, followed_by, window_totals
-from rowtide.streaming.sources import event_stream, one_of_each, run_to_table
+from rowtide.streaming.sources import event_stream, one_of_each, run_to_end, run_to_table
 
 COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
@@ -56,6 +56,23 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert [(r["window_start"].hour, r["n"], float(r["total"])) for r in rows] == [(10, 1, 1.25), (12, 3, 3.75)]
 
 
+@pytest.mark.parametrize("window", ["tumbling", "sliding", "session"])
+def test_open_windows_are_emitted_at_the_end(spark, tmp_path, window):
+    source, end = tmp_path / "in", str(tmp_path / "end")
+    source.mkdir()
+    # Out of order over files that are one batch; the last rows leave their windows open.
+    folder = write_files(source, [
+        [event(1, "2024-01-02 10:30"), event(2, "2024-01-03 23:59")],
+        [event(3, "2024-01-01 00:00"), event(4, "2024-01-02 10:00", user=None)],
+    ])
+    shape = {"tumbling": F.window("ts", "1 day"), "sliding": F.window("ts", "1 day", "12 hours"), "session": F.session_window("ts", "1 hour")}[window]
+    totals = window_totals(event_stream(spark, folder, "*.parquet", end=end), ["event_type"], shape, "1 hour")
+    rows = run_to_end(totals, window, end).collect()
+    plain = window_totals(spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], shape, "1 hour")
+    assert sorted(map(str, rows)) == sorted(map(str, plain.collect()))
+    assert sum(r["n"] for r in rows) == (8 if window == "sliding" else 4)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path, parts):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
