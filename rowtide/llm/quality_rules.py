@@ -24,6 +24,8 @@ from rowtide.session import written
 
 BLANK = r"[\x20\x09-\x0D]+"
 POSITION_BITS = 24
+# Words of a block: in longer texts the share of distinct words falls, and that of repeated windows rises.
+BLOCK = 1000
 # A word without letters and digits.
 BARE = r"(?<![^\\x20\\x09-\\x0D])[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+(?![^\\x20\\x09-\\x0D])"
 
@@ -41,8 +43,8 @@ class Rule:
 # rules at least: votes that agree are what the estimate learns from.
 RULES = (
     Rule("symbols", "n_symbols > 0.10 * n_words", "n_words >= 20 AND n_symbols <= 0.02 * n_words"),
-    Rule("repeated_words", "n_repeat_words > 0.35 * n_words", "n_words >= 20 AND n_repeat_words <= 0.20 * n_words"),
-    Rule("few_words", "n_words >= 20 AND n_distinct < 0.2 * n_words", "n_words >= 20 AND n_distinct >= 0.4 * n_words"),
+    Rule("repeated_words", "n_block_repeats > 0.35 * n_words", "n_words >= 20 AND n_block_repeats <= 0.20 * n_words"),
+    Rule("few_words", "n_words >= 20 AND n_block_distinct < 0.2 * n_words", "n_words >= 20 AND n_block_distinct >= 0.4 * n_words"),
     Rule("repeated_lines", "n_dup_lines > 0.5 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.2 * n_lines"),
     Rule("capitals", "n_upper > 0.5 * word_chars", "n_words >= 20 AND n_upper <= 0.15 * word_chars"),
     Rule("marks", "n_marks > 0.2 * word_chars", "n_words >= 20 AND n_marks <= 0.1 * word_chars"),
@@ -53,7 +55,7 @@ RULES = (
 
 STATISTICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks",
-    "n_exclaims", "n_bare",
+    "n_exclaims", "n_bare", "n_block_distinct", "n_block_repeats",
 )
 
 
@@ -64,7 +66,9 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     counts the words that stand in a three-word window found twice or more in the text. To
     find those, windows are hashed. Where all hashes differ, nothing repeats. Else they are sorted
     as numbers with the position in the lowest bits, and windows next to one with the same hash
-    are compared word by word, so that hashes never decide.
+    are compared word by word, so that hashes never decide. ``n_block_distinct`` and
+    ``n_block_repeats`` are ``n_distinct`` and ``n_repeat_words`` with words and windows compared
+    within blocks of ``BLOCK`` words only, summed over the blocks; these cover the whole text.
     Null texts count as empty and have zeros; columns of the added names are replaced.
     """
     base = without(df, [*STATISTICS, "words_"])
@@ -95,19 +99,31 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     same = f"coalesce(get({ordered}, k - 1).w = x.w, false) OR coalesce(get({ordered}, k + 1).w = x.w, false)"
     step = step.withColumn(found, F.expr(f"sort_array(transform(filter({ordered}, (x, k) -> {same}), x -> x.i))"))
     # Windows in order cover three words each, less what the one before covers already.
-    covered = f"aggregate({found}, struct(CAST(0 AS BIGINT) AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
+    def covered(at: str) -> str:
+        return f"aggregate({at}, struct(CAST(0 AS BIGINT) AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
+
+    # Equal windows are in the order of their positions, so that those of one block are neighbours.
+    def beside(k: str) -> str:
+        return f"coalesce(get({ordered}, {k}).w = x.w AND get({ordered}, {k}).i DIV {BLOCK} = x.i DIV {BLOCK}, false)"
+
+    in_block = free_name(base, "in_block")
+    block = f"sort_array(transform(filter({ordered}, (x, k) -> {beside('k - 1')} OR {beside('k + 1')}), x -> x.i))"
+    step = step.withColumn(in_block, F.expr(f"CASE WHEN size(words_) <= {BLOCK} THEN {found} ELSE {block} END"))
+    distinct = f"aggregate(sequence(0, size(words_) - 1, {BLOCK}), CAST(0 AS BIGINT), (a, i) -> a + size(array_distinct(slice(words_, i + 1, {BLOCK}))))"
     every = {
         "n_words": "CAST(size(words_) AS BIGINT)",
         "word_chars": "CAST(length(array_join(words_, '')) AS BIGINT)",
         "n_symbols": f"CAST(length(regexp_replace({value}, '[^#*$%&|<>]+', '')) AS BIGINT)",
         "n_dup_lines": f"CAST(size({lined}) - size(array_distinct({lined})) AS BIGINT)",
-        "n_repeat_words": covered,
+        "n_repeat_words": covered(found),
         "n_lines": f"CAST(size({lined}) AS BIGINT)",
         "n_distinct": "CAST(size(array_distinct(words_)) AS BIGINT)",
         "n_upper": f"CAST(length(regexp_replace({value}, '\\\\P{{Lu}}+', '')) AS BIGINT)",
         "n_marks": f"CAST(length(regexp_replace({value}, '[^!-/:-@\\\\[-`{{-~]+', '')) AS BIGINT)",
         "n_exclaims": f"CAST(length({value}) - length(replace({value}, '!', '')) AS BIGINT)",
         "n_bare": f"CAST(size(split({value}, '{BARE}')) - 1 AS BIGINT)",
+        "n_block_distinct": f"CASE WHEN size(words_) <= {BLOCK} THEN CAST(size(array_distinct(words_)) AS BIGINT) ELSE {distinct} END",
+        "n_block_repeats": covered(in_block),
     }
     return step.select(*base.columns, *[F.expr(sql).alias(name) for name, sql in every.items()])
 
@@ -119,9 +135,11 @@ def votes(df: DataFrame, rules: Sequence[Rule], name: str = "votes") -> DataFram
 
 
 # Where the estimate starts, and made-up votes per rule that keep rules which hardly vote from
-# extremes. Bad texts differ from each other: a rule sees few of them, and hardly ever errs on
-# good ones.
-SHARE_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, WEIGHT = 0.8, 0.995, 0.2, 20.0
+# extremes. Bad texts differ from each other: a rule sees few of them, and seldom errs on good
+# ones, but so often that one bad vote against eight good ones starts as good (odds of 2).
+SHARE_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, WEIGHT = 0.8, 0.98, 0.2, 20.0
+# The verdict takes no rule to err on good texts less often than this, however many agree.
+LEAST_ERROR = 0.01
 
 
 def _estimate_sql(rules: int, rounds: int) -> str:
@@ -171,6 +189,7 @@ def quality_posterior(voted: DataFrame, rules: Sequence[Rule] = RULES, name: str
     model = rule_accuracies(base, rules, name).first()
     odds = F.lit(math.log(model["share"]) - math.log(1 - model["share"]))
     for r, (good, bad) in enumerate(zip(model["good"], model["bad"])):
+        good = min(good, 1 - LEAST_ERROR)
         vote = F.col(name)[r]
         odds += F.when(vote == 1, math.log(good) - math.log(1 - bad)).when(vote == 0, math.log(1 - good) - math.log(bad)).otherwise(0.0)
     return base.withColumn("p_good", 1 / (1 + F.exp(-odds)))

@@ -110,6 +110,35 @@ def test_estimate_matches_plain_expectation_maximisation(spark):
     assert np.allclose([got["share"], *got["good"], *got["bad"]], [share, *good, *bad])
 
 
+def test_long_texts_and_single_bad_votes(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(15_000)]
+    phrases = [" ".join(rng.choice(vocabulary) for _ in range(3)) for _ in range(300)]
+
+    def natural(n, new=4):
+        return " ".join(w for _ in range(n // 7) for w in [rng.choice(phrases), *(rng.choice(vocabulary) for _ in range(new))])
+
+    book = natural(100_000)
+    prices = " ".join(("$" if i % 8 == 0 else "") + w for i, w in enumerate(natural(240).split()))
+    junk = ["buy now " * 60, "#### $$$$ ||| &&& " * 30, "LOUD WORDS!!! HERE!!! " * 20, "same line again and again\n" * 30]
+    texts = [book, prices, *junk * 4, *(natural(300) for _ in range(100))]
+    known = quality_rules.text_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING"))
+    got = {r["doc_id"]: r for r in quality_rules.judged(known).collect()}
+    words = book.split()
+    blocks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+    assert got[0]["n_block_distinct"] == sum(len(set(b)) for b in blocks)
+    repeated = set()
+    for start in range(0, len(words), 1000):
+        windows = [tuple(words[i : i + 3]) for i in range(start, min(start + 1000, len(words) - 2))]
+        seen = Counter(windows)
+        repeated.update(start + i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3))
+    assert got[0]["n_block_repeats"] == len(repeated)
+    assert got[0]["n_distinct"] < 0.2 * len(words) and got[0]["n_repeat_words"] > 0.35 * len(words)
+    assert 0 not in got[0]["votes"] and got[0]["kept"]
+    assert got[1]["votes"].count(0) == 1 and got[1]["kept"]
+    assert not any(got[i]["kept"] for i in range(2, 18)) and all(got[i]["kept"] for i in range(18, len(texts)))
+
+
 def placed_well(rows, capacity):
     by = defaultdict(list)
     for r in rows:
