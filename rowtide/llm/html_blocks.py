@@ -7,10 +7,17 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math svg mglyph malignmark object canvas iframe noscript".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style template noscript svg math object iframe canvas".split())
+UNREAD = frozenset("script style template".split())
+# Formulas and drawings: their elements are inline, but for what stands in one that takes HTML.
+FOREIGN = frozenset(["math", "svg"])
+TAKES_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+SPACED = frozenset("text title desc mtd annotation annotation-xml".split())
+# Elements that end a formula or drawing which was left open.
+BREAKS_OUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li listing menu ol p pre table ul".split())
 # Elements that a new one of the second kinds closes.
 CLOSED_BY = {
     "p": frozenset(
@@ -36,6 +43,8 @@ class Element:
     tag: str
     names: frozenset[str]
     block: str  # the nearest block element
+    inline: bool = False
+    foreign: bool = False  # whether elements in it are those of a formula or drawing
 
 
 class Blocks(HTMLParser):
@@ -55,19 +64,26 @@ class Blocks(HTMLParser):
         self.parts, self.linked, self.begun = [], 0, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.open[-1].foreign and tag in BREAKS_OUT:
+            while self.open[-1].foreign:
+                self.leave(len(self.open) - 1)
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             elif tag == "br":
                 self.parts.append(" ")
             return
-        if tag not in INLINE:
+        foreign = self.open[-1].foreign
+        inline = foreign or tag in INLINE
+        if foreign and tag in SPACED:
+            self.parts.append(" ")
+        if not inline:
             self.flush()
             for i in range(len(self.open) - 1, 0, -1):
                 if tag in CLOSED_BY.get(self.open[i].tag, ()):
                     self.leave(i)
                     break
-                if self.open[i].tag not in INLINE and self.open[i].tag != "p":
+                if not self.open[i].inline and self.open[i].tag != "p":
                     break
         top = self.open[-1]
         own = {f"<{tag}>"}
@@ -75,7 +91,7 @@ class Blocks(HTMLParser):
             if value and name in ("class", "id", "role", "aria-label"):
                 own.update(w.lower() for w in NAME.findall(value[:200]))
         names = top.names if own <= top.names else top.names | own
-        self.open.append(Element(tag, names, top.block if tag in INLINE else tag))
+        self.open.append(Element(tag, names, top.block if inline else tag, inline, tag in FOREIGN or foreign and tag not in TAKES_HTML))
         self.links += tag == "a"
         self.unread += tag in UNREAD
 
@@ -88,14 +104,18 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        if tag not in INLINE:
-            self.flush()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
+                if not all(e.inline for e in self.open[i:]):
+                    self.flush()
+                elif tag in SPACED:
+                    self.parts.append(" ")
                 self.leave(i)
                 return
-            if tag in INLINE and self.open[i].tag not in INLINE:
+            if tag in INLINE and not self.open[i].inline:
                 return
+        if tag not in INLINE:
+            self.flush()
 
     def handle_data(self, data: str) -> None:
         if self.unread:

@@ -235,6 +235,20 @@ def test_main_text_of_pages(spark):
     assert html_text.extract_text(df.filter("false"), chain).count() == 0
 
 
+def test_formulas_and_fallbacks_are_text():
+    def texts(html):
+        return [(b.text, b.tag) for b in leaf_blocks(html)]
+
+    assert texts("<p>where <math><mi>x</mi><mo>&lt;</mo><mn>1</mn></math> is small</p>") == [("where x<1 is small", "p")]
+    assert texts("<p>see <svg><g><text>A</text><path d='M0'/><text>B</text></svg> here</p><p>next</p>") == [("see A B here", "p"), ("next", "p")]
+    assert texts("<p>a <svg><text>open<p>b</p>") == [("a open", "p"), ("b", "p")]
+    assert texts("<p>a <object data=x>fall <b>back</b></object> b</p>") == [("a fall back b", "p")]
+    assert texts("<p>a <canvas>drawn</canvas> <noscript>plain</noscript> b</p>") == [("a drawn plain b", "p")]
+    assert texts("<div><iframe src=x>frame &amp; <b>text</b></iframe></div>") == [("frame & text", "div")]
+    assert texts("<svg><foreignObject><p>one</p><p>two</p></foreignObject></svg>") == [("one", "p"), ("two", "p")]
+    assert texts("<p>a<script>x</script><style>y</style><template><p>z</p></template></p>b<svg><style>c</style></svg>") == [("a", "p"), ("b", "")]
+
+
 def test_held_out_layouts_and_viterbi():
     training = html_text.Training(pages=300, epochs=4)
     words = [f"word{i}" for i in range(200)]
