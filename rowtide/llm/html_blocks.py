@@ -89,7 +89,7 @@ class Blocks(HTMLParser):
         own = {f"<{tag}>"}
         for name, value in attrs:
             if value and name in ("class", "id", "role", "aria-label"):
-                own.update(w.lower() for w in NAME.findall(value[:200]))
+                own.update(w.lower() for w in NAME.findall(value))
         names = top.names if own <= top.names else top.names | own
         self.open.append(Element(tag, names, top.block if inline else tag, inline, tag in FOREIGN or foreign and tag not in TAKES_HTML))
         self.links += tag == "a"

@@ -249,6 +249,17 @@ def test_formulas_and_fallbacks_are_text():
     assert texts("<p>a<script>x</script><style>y</style><template><p>z</p></template></p>b<svg><style>c</style></svg>") == [("a", "p"), ("b", "")]
 
 
+def test_names_behind_many_others_count(spark):
+    classes = " ".join(f"px{i} mt{i} flex" for i in range(40))
+    assert "comments" in leaf_blocks(f'<div class="{classes} comments"><p>Nice.</p></div>')[0].names
+    page = PAGE.replace('class="comments"', f'class="{classes} comments"')
+    assert page != PAGE
+    chain = html_text.learn(spark.createDataFrame([(PAGE,), (None,)], "html STRING"))
+    rows = spark.createDataFrame([(1, PAGE), (2, page)], "page_id INT, html STRING")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(rows, chain).collect()}
+    assert got[1] == got[2]
+
+
 def test_held_out_layouts_and_viterbi():
     training = html_text.Training(pages=300, epochs=4)
     words = [f"word{i}" for i in range(200)]
