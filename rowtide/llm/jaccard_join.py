@@ -34,7 +34,7 @@ from rowtide.llm.catalog import query, table
 from rowtide.llm.components import components
 from rowtide.llm.prefix_tree import build, overlapping
 from rowtide.llm.shingles import TOKEN_BITS, set_key, shingle_sets
-from rowtide.llm.words import slices, wider, with_columns, without
+from rowtide.llm.words import free_name, slices, wider, with_columns, without
 from rowtide.session import written
 
 SLICE = 2_000_000  # characters that a task handles at once
@@ -74,17 +74,19 @@ def _bucket_bits(df: DataFrame) -> int:
     return min(20, max(8, ceil(log2(4 * tasks))))
 
 
-def set_keys(df: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
-    """Adds ``n_shingles`` and ``set_key``, equal for equal sets; the text is left out."""
-    base = without(df, ["n_shingles", "set_key"])
+def set_keys(df: DataFrame, join: Join = Join(), text: str = "text", added: tuple = ("n_shingles", "set_key"), drop: bool = True) -> DataFrame:
+    """Adds ``n_shingles`` and ``set_key``, equal for equal sets; the text is left out unless
+    ``drop`` is false. ``added`` are the names of the columns."""
+    base = without(df, list(added))
+    left_out = (text,) if drop else ()
 
     def run(batches):
         for batch in (part for b in batches for part in slices(b, text, SLICE)):
             sets = shingle_sets(batch.column(text).to_pylist(), join.width)
-            added = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())]
-            yield with_columns(batch, ["n_shingles", "set_key"], added, (text,))
+            values = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())]
+            yield with_columns(batch, list(added), values, left_out)
 
-    return base.mapInArrow(run, wider(base, "n_shingles BIGINT, set_key BINARY", (text,)))
+    return base.mapInArrow(run, wider(base, "{} BIGINT, {} BINARY".format(*added), left_out))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
@@ -357,16 +359,9 @@ def pack_tokens(tokens: list[int]) -> bytes:
     return struct.pack(f"<{len(tokens)}Q", *sorted(t & 0xFFFFFFFFFFFFFFFF for t in tokens))
 
 
-def jaccard_components(df: DataFrame, join: Join = Join()) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for a table with ``doc_id`` and ``text``.
-
-    Two documents link if their sets' Jaccard similarity is at least ``join.percent`` per cent,
-    exactly. Documents without words link with nothing. Equal sets link; rows that repeat a
-    doc_id are kept, and the component is the least doc_id that any of their sets reaches.
-    Rows without a doc_id are compared with nothing and have no component. Other columns are
-    not used; an empty table gives no rows.
-    """
-    docs = df.select("doc_id", "text")
+def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, set_key) of all documents; and of each set that a doc_id has,
+    its key, its least doc_id and the root of its component."""
     bits = _bucket_bits(docs)
     named = docs.filter("doc_id IS NOT NULL")
     keyed = written(set_keys(docs, join), "set-keys")
@@ -387,7 +382,19 @@ def jaccard_components(df: DataFrame, join: Join = Join()) -> DataFrame:
     vectors = written(whole_sets(named, wanted, join, bits, frequent), "whole-sets")
     linked = written(components(spanning_links(vectors, join, join.need, "links")), "linked")
     labels = sets.join(linked, sets["key"] == linked["node"], "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    labels = written(labels, "labels")
+    return keyed, written(labels, "labels")
+
+
+def jaccard_components(df: DataFrame, join: Join = Join()) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` for a table with ``doc_id`` and ``text``.
+
+    Two documents link if their sets' Jaccard similarity is at least ``join.percent`` per cent,
+    exactly. Documents without words link with nothing. Equal sets link; rows that repeat a
+    doc_id are kept, and the component is the least doc_id that any of their sets reaches.
+    Rows without a doc_id are compared with nothing and have no component. Other columns are
+    not used; an empty table gives no rows.
+    """
+    keyed, labels = _labelled(df.select("doc_id", "text"), join)
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component"))
     named_sets = labels.join(least, "root").select(F.col("key").alias("set_key"), "component")
     joined = keyed.join(named_sets, "set_key", "left")
@@ -395,14 +402,50 @@ def jaccard_components(df: DataFrame, join: Join = Join()) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _least_rows(df: DataFrame, *by: str) -> DataFrame:
+    """Of rows that agree in ``by`` the least, by text and then the other columns; columns that
+    have no order (maps) do not count. Partly done before the shuffle."""
+    rest = ["text", *[c for c in df.columns if c not in (*by, "text")]]
+    ordered = [c for c in rest if not any(t in df.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
+    least = F.min(F.struct(*rest)) if ordered == rest else F.min_by(F.struct(*rest), F.struct(*ordered))
+    row = free_name(df, "row")
+    return df.groupBy(*by).agg(least.alias(row)).select(*by, f"{row}.*").select(*df.columns)
+
+
+def _one_of_each_named(df: DataFrame, join: Join) -> DataFrame:
+    keyed, labels = _labelled(df.select("doc_id", "text"), join)
+    chosen = labels.groupBy("root").agg(F.min(F.struct("doc_id", F.col("key").alias("set_key"))).alias("c")).select("c.*")
+    chosen = written(chosen.union(keyed.filter("n_shingles = 0").select("doc_id", "set_key").distinct()), "chosen")
+    several = keyed.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b")
+    several = written(several.select("doc_id"), "several-sets")
+    # A doc_id tells which set is meant, unless it has several: only the sets of those are made again.
+    single = df.join(several, "doc_id", "left_anti").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    size, key = free_name(df, "n_shingles"), free_name(df, "set_key")
+    again = set_keys(df.join(several, "doc_id", "left_semi"), join, added=(size, key), drop=False)
+    again = again.join(chosen.withColumnRenamed("set_key", key), ["doc_id", key], "left_semi")
+    return _least_rows(single, "doc_id").select(*df.columns).unionByName(_least_rows(again, "doc_id", key).select(*df.columns))
+
+
 def one_of_each(df: DataFrame, join: Join = Join()) -> DataFrame:
-    """The rows of ``df`` without near copies: of every component the row with the least doc_id.
+    """The rows of ``df`` without near copies: of every component of sets one row.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay as they are.
+    That is the row with the least doc_id, then the least set key, text and other columns. A
+    doc_id with different texts may stay several times, once for each component that it is the
+    least of; of rows without words one stays for each doc_id. Rows without a doc_id are
+    compared with each other, not with the rest: one stays of each of their components, and all
+    of them that have no words. Rows with and without a doc_id have no order between them.
     """
-    kept = jaccard_components(df, join).filter("doc_id = component_id").select("doc_id").distinct()
-    chosen = df.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(df.filter("doc_id IS NULL"))
+    kept = _one_of_each_named(df.filter("doc_id IS NOT NULL"), join)
+    unnamed = df.filter("doc_id IS NULL")
+    if unnamed.isEmpty():
+        return kept
+    size, key = free_name(df, "n_shingles"), free_name(df, "set_key")
+    keyed = written(set_keys(unnamed, join, added=(size, key), drop=False), "unnamed")
+    # Equal sets go first; then the key of its set is what tells a row from the others.
+    sets = written(_least_rows(keyed.filter(F.col(size) > 0), key), "unnamed-sets")
+    named = sets.withColumn("doc_id", F.col(key)).drop(size, key)
+    chosen = _one_of_each_named(named, join).withColumn("doc_id", F.lit(None).cast(df.schema["doc_id"].dataType))
+    return kept.unionByName(chosen.select(*df.columns)).unionByName(keyed.filter(F.col(size) == 0).select(*df.columns))
 
 
 @query()

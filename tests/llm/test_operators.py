@@ -433,6 +433,24 @@ def test_jaccard_without_ids_and_rows(spark):
     assert jaccard_join.jaccard_components(df.filter("false")).count() == 0
 
 
+def test_one_of_each_by_set_and_without_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c, d = " ".join(f"c{i}" for i in range(60)), " ".join(f"d{i}" for i in range(60))
+    rows = [(5, a, 1), (5, b, 1), (3, b + " more", 1), (5, b.upper(), 0), (5, "", 1), (5, " ", 2), (5, a, 0), (7, a + " more", 1), (8, "", 3)]
+    rows += [(None, c, 2), (None, c, 1), (None, c + " more", 1), (None, d, 4), (None, "", 1), (None, "", 1)]
+    kept = []
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, set_key INT").repartition(parts)
+        kept.append(Counter(tuple(r) for r in jaccard_join.one_of_each(df).collect()))
+    assert kept[0] == kept[1]
+    got = Counter((i, x.strip()) for i, x, _ in kept[0].elements())
+    near = [k for k in got if k[0] is None and k[1].startswith("c0")]
+    assert len(near) == 1 and near[0][1] in (c, c + " more")
+    del got[near[0]]
+    assert got == Counter({(5, a): 1, (3, b + " more"): 1, (5, ""): 1, (8, ""): 1, (None, d): 1, (None, ""): 2})
+    assert kept[0][(5, a, 0)] == 1 and kept[0][(5, "", 1)] == 1
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a INT, b INT")).collect()}
