@@ -1,6 +1,11 @@
 """Operators that prepare training data, and their queries in ``CATALOG``."""
 
-from rowtide.llm import chat, html_text, jaccard_join, merkle, packing, quality_classifier, quality_rules, sentencepieces, sharding, token_counts
+from rowtide.llm import (
+    chat, html_text, jaccard_join, merkle, packing, quality_classifier, quality_rules, sentencepieces, sharding, token_counts, top_products,
+)
 from rowtide.llm.catalog import CATALOG
 
-__all__ = ["CATALOG", "chat", "html_text", "jaccard_join", "merkle", "packing", "quality_classifier", "quality_rules", "sentencepieces", "sharding", "token_counts"]
+__all__ = [
+    "CATALOG", "chat", "html_text", "jaccard_join", "merkle", "packing", "quality_classifier", "quality_rules", "sentencepieces", "sharding",
+    "token_counts", "top_products",
+]
