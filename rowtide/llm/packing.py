@@ -13,8 +13,10 @@ each task looks up its positions among the runs' boundaries.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +24,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.words import Pieces, free_name, offsets, slices, texts_of, wider, with_columns, without
+from rowtide.llm.words import Pieces, free_name, offsets, slices, wider, with_columns, without
 from rowtide.session import written
 
 CAPACITY = 4096
 PARTITION_ROWS_BITS = 33  # of monotonically_increasing_id
 
 
-@cache
-def word_ids(path: str) -> Pieces:
-    """Ids of a tokenizer whose words end at white space: found once for every distinct word.
+# Words of these characters alone are parted here as the tokenizer parts them: printable ASCII and
+# letters that one code point stands for, of which each has one lower-case letter.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ſ]*\Z")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+CODED = 2_000  # parts that are coded as one text
 
-    New words are coded as one text; a token belongs to the word that its characters are in.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+class WordIds:
+    """Ids of a tokenizer that lower-cases, parts words at white space, between letters, digits and
+    other characters and at English endings, and codes each part by itself.
+
+    Two memories: of words as they are written, and of their parts, which many words share
+    (``Word``, ``word,`` and ``word.``). A word of unusual characters, or with what may be the name
+    of a special token, is coded whole; a token belongs to the word that its characters are in.
+    """
 
-    def make(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.parts_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Parts are normalised and parted already.
+        self.parts_only.normalizer = None
+        blank, to_bytes = pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts_only.pre_tokenizer = pre_tokenizers.Sequence([blank, to_bytes])
+        self.words, self.parts = Pieces(self._words), Pieces(self._parts)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all texts' ids end to end; null counts as empty."""
+        lists = pa.compute.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        at = self.words.places(coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))
+        counts, ids = self.words.lists(at[index])
+        return np.diff(offsets(counts)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]), ids
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((PLAIN.match(w) is not None and "<|" not in w for w in words), bool, len(words))
+        parted = [PART.findall(w.lower()) if p else () for w, p in zip(words, plain.tolist())]
+        sizes = np.fromiter(map(len, parted), np.int64, len(words))
+        part_counts, part_ids = self.parts.lists(self.parts.places(list(chain.from_iterable(parted))))
+        counts = np.diff(offsets(part_counts)[offsets(sizes)])
+        if plain.all():
+            return counts, part_ids
+        other = [w for w, p in zip(words, plain.tolist()) if not p]
+        coded = self.whole.encode(" ".join(other), add_special_tokens=False)
         starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
-        limits = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        owner = np.searchsorted(limits, starts, "right")
-        return np.bincount(owner, minlength=len(words)), np.array(coded.ids, np.int64)
+        limits = np.cumsum(np.fromiter(map(len, other), np.int64, len(other)) + 1)
+        counts[~plain] = np.bincount(np.searchsorted(limits, starts, "right"), minlength=len(other))
+        ids = np.empty(int(counts.sum()), np.int64)
+        of_plain = np.repeat(plain, counts)
+        ids[of_plain], ids[~of_plain] = part_ids, coded.ids
+        return counts, ids
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts, ids = [], []
+        for start in range(0, len(parts), CODED):
+            some = parts[start : start + CODED]
+            coded = self.parts_only.encode(" ".join(some), add_special_tokens=False)
+            counts.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some)))
+            ids.append(np.array(coded.ids, np.int64))
+        return np.concatenate(counts), np.concatenate(ids)
+
 
-    return Pieces(make)
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory for all tasks of a worker."""
+    return WordIds(path)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
@@ -64,7 +115,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     def run(batches):
         memory = word_ids(tokenizer)
         for batch in (part for b in batches for part in slices(b, text)):
-            _, counts, ids = memory.numbers(texts_of(batch, text))
+            counts, ids = memory.of(batch.column(text))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1
             pieces = -(-counts // capacity)

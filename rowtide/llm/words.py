@@ -52,6 +52,27 @@ class Pieces:
         chosen = self.flat[np.repeat(often, self.counts)]
         self._keep([w for w, keep in zip(self.index, often.tolist()) if keep], self.counts[often], chosen)
 
+    def places(self, keys: list[str], times: np.ndarray | None = None) -> np.ndarray:
+        """Where the lists of these keys are in ``counts``; each key may stand for ``times`` uses."""
+        if len(self.index) > self.kept:
+            self._forget()
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        if len(self.index) > known:
+            self._learn(*self.make(list(islice(self.index, known, None))))
+        self.seen += np.bincount(at, times, len(self.seen)).astype(np.int64)
+        return at
+
+    def lists(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many numbers the lists at these places have, and the numbers end to end."""
+        counts = self.counts[at]
+        shift = np.cumsum(self.counts)[at] - np.cumsum(counts)
+        return counts, self.flat[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
+
+    def _learn(self, counts: np.ndarray, flat: np.ndarray) -> None:
+        self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
+        self.seen = np.concatenate([self.seen, np.zeros(len(counts), np.int64)])
+
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words and numbers per text, and all texts' numbers end to end."""
         if len(self.index) > self.kept:

@@ -461,3 +461,27 @@ def test_digests_of_the_first_query(spark):
     rows = sentencepieces.op1_sentencepiece(spark, "/root/testdata/sf0.001").limit(5).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in rows)
+
+
+def test_word_ids_of_odd_strings_match_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, memory, rng = Tokenizer.from_file(WORDS), packing.word_ids(WORDS), random.Random(7)
+    letters = "aAbB.,'!?<|>sStTréÉßẞİıſŀĿŉ’́   \x1c\x85​中文٣½²ⅣǅẍÀàÿŸœ🙂 \t\n'll're've'd'm's0123456789_-"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts += [t.replace("a", "<|endoftext|>").replace("b", "'Ll") for t in texts[:500]] + [t for t in TEXTS if t]
+    counts, ids = memory.of(pa.array([None, *texts]).slice(1))
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_word_memory_forgets_and_stays_right():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, memory = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    memory.words.kept, memory.parts.kept = 50, 30
+    for i in range(40):
+        text = " ".join(f"w{j % 90}x{i * j % 70}, Common. é{j}" for j in range(i, i + 30))
+        assert memory.of(pa.array([text]))[1].tolist() == library.encode(text, add_special_tokens=False).ids
