@@ -77,7 +77,11 @@ def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM events")
 def stream_deduplication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(distinct_events(event_stream(spark, sf_dir), "event_id", DELAY), "distinct")
+    """Every event arrives up to three times; the copies are derived in the stream."""
+    events = event_stream(spark, sf_dir)
+    copies = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")))
+    arriving = events.withColumn("copy", copies).drop("copy")
+    return run_to_table(distinct_events(arriving, "event_id", DELAY), "distinct")
 
 
 @query("""
@@ -98,5 +102,6 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY 1, 2 HAVING COUNT(DISTINCT event_type) = 3
 """)
 def stream_complete_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = complete_days(event_stream(spark, sf_dir), ["view", "click", "purchase"], DELAY)
-    return run_to_table(days, "days")
+    end = work_path(spark, "days-end")
+    days = complete_days(event_stream(spark, sf_dir, end=end), ["view", "click", "purchase"], DELAY)
+    return run_to_end(days, "days", end)

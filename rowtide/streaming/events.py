@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowtide.functions.columns import money
 from rowtide.streaming.sources import one_of_each
@@ -17,8 +13,6 @@ from rowtide.streaming.sources import one_of_each
 # Merges sessions inside each input partition before the shuffle.
 LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
-DAY_MS = 86_400_000
-
 
 def window_totals(stream: DataFrame, keys: list[str], window: Column, delay: str) -> DataFrame:
     """Count and sum of ``value`` per key and event-time window, once the window closes."""
@@ -83,49 +77,14 @@ def distinct_events(stream: DataFrame, key: str, delay: str) -> DataFrame:
 
 
 def complete_days(stream: DataFrame, steps: list[str], delay: str) -> DataFrame:
-    """One row per user and day as soon as all ``steps`` were seen, in any order.
+    """One row per user and day on which all ``steps`` were seen, in any order, once the day closes.
 
-    A windowed aggregate would report a day only after it closes, or over and over in
-    update mode; the state here reports it once, at once. It holds the steps seen by one
-    user on one day, as one number, until the watermark has passed the day.
+    The steps of a day are bits of one number, which every task adds up before the shuffle, so a
+    busy user reaches the state as one row per task and day. Rows without a time count for no day.
     """
     bits = F.create_map(*[F.lit(v) for i, step in enumerate(steps) for v in (step, 1 << i)])
-    days = stream.where(F.col("event_type").isin(steps) & F.col("ts").isNotNull()).select(
-        "user_id",
-        F.unix_date(F.to_date("ts")).cast("bigint").alias("day"),
-        bits[F.col("event_type")].cast("bigint").alias("step"),
-        "ts",
-    )
-    # What one batch says twice about a user's day need not reach the state.
-    days = one_of_each(days, ["user_id", "day", "step"], "ts").withWatermark("ts", delay)
-    complete = (1 << len(steps)) - 1
-
-    def update(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        user, day = key
-        before = state.get[0] if state.exists else 0
-        seen = before
-        for frame in frames:
-            seen |= int(np.bitwise_or.reduce(frame["step"].to_numpy()))
-        if seen == complete and before != complete:
-            yield pd.DataFrame({"user_id": [user], "day": [day]})
-        end = (int(day) + 1) * DAY_MS
-        if end > state.getCurrentWatermarkMs():
-            state.update((seen,))
-            state.setTimeoutTimestamp(end)
-        elif state.exists:
-            state.remove()
-
-    found = days.groupBy("user_id", "day").applyInPandasWithState(
-        update,
-        "user_id bigint, day bigint",
-        "seen bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    day = F.date_from_unix_date(F.col("day").cast("int")).cast("timestamp_ntz")
-    return found.select("user_id", day.alias("day"))
+    # A row without a type, such as the one that ends a stream, only moves the watermark.
+    wanted = F.col("event_type").isin(steps) | F.col("event_type").isNull()
+    done = stream.where(wanted).withColumn("step", bits[F.col("event_type")].cast("bigint"))
+    days = done.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.bit_or("step").alias("seen"))
+    return days.where(F.col("seen") == (1 << len(steps)) - 1).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("day"))
