@@ -254,14 +254,22 @@ def order_groups(
 def _large_groups(df: DataFrame, group: Column, tasks: int) -> list[int]:
     """Hashes of the groups above a fair task's share of rows; fewer than ``tasks``.
 
-    The counts come from a frequent-items sketch of fixed size, merged like any other
-    partial aggregate. A group it misses costs time, not correctness.
+    The counts come from frequent-items sketches of fixed size. Every task makes one, about the
+    root of their number are merged at once, and the last task merges what is left. A group that
+    they miss costs time, not correctness.
     """
     safe = int(df.sparkSession.conf.get(SAFE_GROUP_ROWS_SETTING, str(SAFE_GROUP_ROWS)))
     tracked = min(1_000_000, max(10_000, 4 * tasks))
-    found = df.select(group.alias("g")).agg(
-        F.count("*").alias("n"), F.expr(f"approx_top_k(g, {tasks}, {tracked})").alias("top")
+    some = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks) + 1))
+    parts = df.select(group.alias("g"), some.alias("some")).groupBy("some").agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(g, {tracked})").alias("s")
+    )
+    # By a constant, as no sketches cannot be combined: an empty table gives no row.
+    found = parts.groupBy(F.lit(0)).agg(
+        F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {tasks})").alias("top")
     ).first()
+    if found is None:
+        return []
     limit = max(safe, found["n"] / tasks)
     return [t["item"] for t in found["top"] or [] if t["count"] > limit]
 
