@@ -265,7 +265,7 @@ def _large_groups(df: DataFrame, group: Column, tasks: int) -> list[int]:
         F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(g, {tracked})").alias("s")
     )
     # By a constant, as no sketches cannot be combined: an empty table gives no row.
-    found = parts.groupBy(F.lit(0)).agg(
+    found = parts.groupBy(F.lit(True)).agg(
         F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {tasks})").alias("top")
     ).first()
     if found is None:
