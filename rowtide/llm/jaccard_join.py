@@ -429,23 +429,27 @@ def _one_of_each_named(df: DataFrame, join: Join) -> DataFrame:
 def one_of_each(df: DataFrame, join: Join = Join()) -> DataFrame:
     """The rows of ``df`` without near copies: of every component of sets one row.
 
-    That is the row with the least doc_id, then the least set key, text and other columns. A
-    doc_id with different texts may stay several times, once for each component that it is the
-    least of; of rows without words one stays for each doc_id. Rows without a doc_id are
-    compared with each other, not with the rest: one stays of each of their components, and all
-    of them that have no words. Rows with and without a doc_id have no order between them.
+    That is the row with the least doc_id, then the least set key, text and other columns; rows
+    without a doc_id come behind those that have one. A doc_id with different texts may stay
+    several times, once for each component that it is the least of. Of rows without words one
+    stays for each doc_id, and all that have no doc_id.
     """
-    kept = _one_of_each_named(df.filter("doc_id IS NOT NULL"), join)
     unnamed = df.filter("doc_id IS NULL")
     if unnamed.isEmpty():
-        return kept
-    size, key = free_name(df, "n_shingles"), free_name(df, "set_key")
+        return _one_of_each_named(df, join)
+    size, key, kind = free_name(df, "n_shingles"), free_name(df, "set_key"), df.schema["doc_id"].dataType
     keyed = written(set_keys(unnamed, join, added=(size, key), drop=False), "unnamed")
-    # Equal sets go first; then the key of its set is what tells a row from the others.
+    # Of equal sets without a doc_id one row goes on, and its set's key stands for the doc_id.
     sets = written(_least_rows(keyed.filter(F.col(size) > 0), key), "unnamed-sets")
-    named = sets.withColumn("doc_id", F.col(key)).drop(size, key)
-    chosen = _one_of_each_named(named, join).withColumn("doc_id", F.lit(None).cast(df.schema["doc_id"].dataType))
-    return kept.unionByName(chosen.select(*df.columns)).unionByName(keyed.filter(F.col(size) == 0).select(*df.columns))
+
+    def known_by(missing: bool, id: F.Column, key: F.Column) -> F.Column:
+        return F.struct(F.lit(missing).alias("missing"), id.cast(kind).alias("id"), key.cast("binary").alias("key"))
+
+    named = df.filter("doc_id IS NOT NULL").withColumn("doc_id", known_by(False, F.col("doc_id"), F.lit(None)))
+    others = sets.withColumn("doc_id", known_by(True, F.lit(None), F.col(key))).drop(size, key)
+    kept = _one_of_each_named(named.unionByName(others.select(*df.columns)), join)
+    wordless = keyed.filter(F.col(size) == 0).select(*df.columns)
+    return kept.withColumn("doc_id", F.col("doc_id.id")).select(*df.columns).unionByName(wordless)
 
 
 @query()

@@ -71,15 +71,15 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     within blocks of ``BLOCK`` words only, summed over the blocks; these cover the whole text.
     Null texts count as empty and have zeros; columns of the added names are replaced.
     """
-    base = without(df, [*STATISTICS, "words_"])
-    value = free_name(base, "value")
+    base = without(df, [*STATISTICS])
+    value, words_ = free_name(base, "value"), free_name(base, "words_")
     words = F.array_remove(F.split(F.col(value), BLANK), "")
-    step = base.withColumn(value, F.coalesce(F.col(text), F.lit(""))).withColumn("words_", words)
+    step = base.withColumn(value, F.coalesce(F.col(text), F.lit(""))).withColumn(words_, words)
     lines = F.filter(F.split(F.col(value), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashed, packed, near, lined = (free_name(base, n) for n in ("hashed", "packed", "near", "lined"))
-    window = "struct(words_[i], words_[i + 1], words_[i + 2])"
-    small = f"size(words_) - 2 < {1 << POSITION_BITS}"
-    single = "transform(words_, w -> xxhash64(w))"
+    window = f"struct({words_}[i], {words_}[i + 1], {words_}[i + 2])"
+    small = f"size({words_}) - 2 < {1 << POSITION_BITS}"
+    single = f"transform({words_}, w -> xxhash64(w))"
     step = step.withColumn(lined, lines).withColumn(hashed, F.expr(single))
     joint = f"transform(sequence(0, size({hashed}) - 3), i -> xxhash64({hashed}[i], {hashed}[i + 1], {hashed}[i + 2]))"
     step = step.withColumn(hashed, F.expr(f"CASE WHEN size({hashed}) < 4 THEN CAST(array() AS ARRAY<BIGINT>) ELSE {joint} END"))
@@ -93,7 +93,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     # Positions whose window shares its hash with another one; in a text of 2**24 words or more, all.
     maybe = f"transform(filter({packed}, (x, k) -> {shared('k - 1')} OR {shared('k + 1')}), x -> CAST(x & {low} AS INT))"
-    step = step.withColumn(near, F.expr(f"CASE WHEN size(words_) < 4 OR {small} THEN {maybe} ELSE sequence(0, size(words_) - 3) END"))
+    step = step.withColumn(near, F.expr(f"CASE WHEN size({words_}) < 4 OR {small} THEN {maybe} ELSE sequence(0, size({words_}) - 3) END"))
     ordered, found = free_name(base, "ordered"), free_name(base, "found")
     step = step.withColumn(ordered, F.expr(f"sort_array(transform({near}, i -> struct({window} AS w, i AS i)))"))
     same = f"coalesce(get({ordered}, k - 1).w = x.w, false) OR coalesce(get({ordered}, k + 1).w = x.w, false)"
@@ -108,21 +108,21 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     in_block = free_name(base, "in_block")
     block = f"sort_array(transform(filter({ordered}, (x, k) -> {beside('k - 1')} OR {beside('k + 1')}), x -> x.i))"
-    step = step.withColumn(in_block, F.expr(f"CASE WHEN size(words_) <= {BLOCK} THEN {found} ELSE {block} END"))
-    distinct = f"aggregate(sequence(0, size(words_) - 1, {BLOCK}), CAST(0 AS BIGINT), (a, i) -> a + size(array_distinct(slice(words_, i + 1, {BLOCK}))))"
+    step = step.withColumn(in_block, F.expr(f"CASE WHEN size({words_}) <= {BLOCK} THEN {found} ELSE {block} END"))
+    distinct = f"aggregate(sequence(0, size({words_}) - 1, {BLOCK}), CAST(0 AS BIGINT), (a, i) -> a + size(array_distinct(slice({words_}, i + 1, {BLOCK}))))"
     every = {
-        "n_words": "CAST(size(words_) AS BIGINT)",
-        "word_chars": "CAST(length(array_join(words_, '')) AS BIGINT)",
+        "n_words": f"CAST(size({words_}) AS BIGINT)",
+        "word_chars": f"CAST(length(array_join({words_}, '')) AS BIGINT)",
         "n_symbols": f"CAST(length(regexp_replace({value}, '[^#*$%&|<>]+', '')) AS BIGINT)",
         "n_dup_lines": f"CAST(size({lined}) - size(array_distinct({lined})) AS BIGINT)",
         "n_repeat_words": covered(found),
         "n_lines": f"CAST(size({lined}) AS BIGINT)",
-        "n_distinct": "CAST(size(array_distinct(words_)) AS BIGINT)",
+        "n_distinct": f"CAST(size(array_distinct({words_})) AS BIGINT)",
         "n_upper": f"CAST(length(regexp_replace({value}, '\\\\P{{Lu}}+', '')) AS BIGINT)",
         "n_marks": f"CAST(length(regexp_replace({value}, '[^!-/:-@\\\\[-`{{-~]+', '')) AS BIGINT)",
         "n_exclaims": f"CAST(length({value}) - length(replace({value}, '!', '')) AS BIGINT)",
         "n_bare": f"CAST(size(split({value}, '{BARE}')) - 1 AS BIGINT)",
-        "n_block_distinct": f"CASE WHEN size(words_) <= {BLOCK} THEN CAST(size(array_distinct(words_)) AS BIGINT) ELSE {distinct} END",
+        "n_block_distinct": f"CASE WHEN size({words_}) <= {BLOCK} THEN CAST(size(array_distinct({words_})) AS BIGINT) ELSE {distinct} END",
         "n_block_repeats": covered(in_block),
     }
     return step.select(*base.columns, *[F.expr(sql).alias(name) for name, sql in every.items()])
@@ -134,12 +134,12 @@ def votes(df: DataFrame, rules: Sequence[Rule], name: str = "votes") -> DataFram
     return df.withColumn(name, F.array(*cast))
 
 
-# Where the estimate starts, and made-up votes per rule that keep rules which hardly vote from
-# extremes. Bad texts differ from each other: a rule sees few of them, and seldom errs on good
-# ones, but so often that one bad vote against eight good ones starts as good (odds of 2).
-SHARE_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, WEIGHT = 0.8, 0.98, 0.2, 20.0
-# The verdict takes no rule to err on good texts less often than this, however many agree.
-LEAST_ERROR = 0.01
+# Where the estimate starts, and made-up votes per rule, WEIGHT of them and PRIOR for each real one.
+# They are part of every update: rules that hardly vote stay near the start, and as made-up votes
+# grow with the real ones, no rule counts as infallible, and estimates are alike at every size: a
+# rule that errs on one good text in twenty is estimated to err on 4.7 per cent. Bad texts differ
+# from each other: a rule sees few of them, and seldom errs on good ones, but so often that one bad vote against eight good ones starts as good (odds of 2).
+SHARE_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, WEIGHT, PRIOR = 0.8, 0.98, 0.2, 20.0, 0.1
 
 
 def _estimate_sql(rules: int, rounds: int) -> str:
@@ -157,7 +157,7 @@ def _estimate_sql(rules: int, rounds: int) -> str:
     def share(r: str, vote: int, mass: str, right: float) -> str:
         part = f"aggregate(e, CAST(0 AS DOUBLE), (a, y) -> a + CASE WHEN y.v[{r}] = {vote} THEN {mass} ELSE 0 END)"
         both = f"aggregate(e, CAST(0 AS DOUBLE), (a, y) -> a + CASE WHEN y.v[{r}] IS NOT NULL THEN {mass} ELSE 0 END)"
-        return f"({part} + {right * WEIGHT}) / ({both} + {WEIGHT})"
+        return f"({part} + {right} * ({WEIGHT} + {PRIOR} * {both})) / ((1 + {PRIOR}) * {both} + {WEIGHT})"
 
     total = "aggregate(e, CAST(0 AS DOUBLE), (a, y) -> a + y.n)"
     good = "aggregate(e, CAST(0 AS DOUBLE), (a, y) -> a + y.q)"
@@ -189,7 +189,6 @@ def quality_posterior(voted: DataFrame, rules: Sequence[Rule] = RULES, name: str
     model = rule_accuracies(base, rules, name).first()
     odds = F.lit(math.log(model["share"]) - math.log(1 - model["share"]))
     for r, (good, bad) in enumerate(zip(model["good"], model["bad"])):
-        good = min(good, 1 - LEAST_ERROR)
         vote = F.col(name)[r]
         odds += F.when(vote == 1, math.log(good) - math.log(1 - bad)).when(vote == 0, math.log(1 - good) - math.log(bad)).otherwise(0.0)
     return base.withColumn("p_good", 1 / (1 + F.exp(-odds)))

@@ -1,6 +1,10 @@
 """The pipeline against a plain version of its stages, and the queries that SQL can state."""
 
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowtide.llm import CATALOG
@@ -26,3 +30,46 @@ def test_stages_follow_each_other(spark):
     assert {r["doc_id"] for r in out} == chosen
     assert placed_well(out, 4096) <= -(-sum(r["length"] for r in out) // 4096) + 1
     assert all(labels.get(i, 1) == 1 for i in chosen)
+
+
+CLASHES = ("words_", "n_lines", "n_words", "kept", "p_good", "votes", "score", "set_key", "n_shingles", "key", "row", "value", "Group", "base_failed")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Documents with nulls, copies, rows without an id, and columns that operators add by name."""
+    base = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rng = random.Random(4)
+    extra = " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{i % 7}" for i in range(400)) + "."
+    rows = [(None, extra, None), (None, extra + " more", "s"), (10**6, extra, "s"), (10**6, extra, "s"), (10**6 + 1, None, "s"), (10**6 + 2, "", None), (None, None, None)]
+    rows += [(None, extra[::-1], "s")]
+    more = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    docs = base.unionByName(more, allowMissingColumns=True)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    return docs.withColumn("tags", F.create_map(F.lit("a"), "lang")).repartition(4, "doc_id", "text").cache()
+
+
+def plainly(df):
+    return Counter(str(r) for r in df.collect())
+
+
+def test_stages_leave_columns_untouched(spark, awkward):
+    before = plainly(awkward)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, awkward, SF_DIR)
+        assert out.dtypes == awkward.dtypes
+        after = plainly(out)
+        assert after and not after - before
+
+
+def test_rows_without_an_id_are_compared_with_all(spark, awkward):
+    out = corpus_pipeline.near_copies(spark, awkward, SF_DIR)
+    assert out.filter(F.col("doc_id") == 10**6).count() == 1
+    assert out.filter("doc_id IS NULL AND text IS NOT NULL").count() == 1
+    packed = corpus_pipeline.packing(spark, out, SF_DIR).collect()
+    assert placed_well(packed, 4096) and len({(r["doc_id"], r["piece"]) for r in packed}) >= out.select("doc_id").distinct().count()
+
+
+def test_empty_tables_give_no_rows(spark, awkward):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, awkward.filter("false"), SF_DIR).count() == 0
