@@ -1,11 +1,15 @@
 """From raw documents to packed token sequences, in stages that are each written as Parquet.
 
 Quality rules, then the quality classifier, let documents go; of near copies one stays; what is
-left is packed. Every stage but the last returns the columns of ``documents``.
+left is packed. Every stage but the last returns the columns of ``documents`` with their values, whatever
+their names are. Null, empty and short texts fail the base of the rules. Rows without a doc_id are
+compared with all others; repeated rows are copies. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,24 +23,35 @@ from rowtide.session import written
 LEAST_SCORE = 0.3
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its other columns under names that no operator adds, and the way back."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"document_column_{i}" for i, c in enumerate(others)}
+    back = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(names), lambda kept: kept.select(*back)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and the weighed votes keep. Statistics are written with their
     documents, as the estimate and the verdict both read them."""
+    docs, back = aside(docs)
     known = written(text_statistics(docs), "statistics")
-    return judged(known).filter("kept").select(*docs.columns)
+    return back(judged(known).filter("kept"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a sufficient score. What to learn from comes from all labelled documents,
     as few bad ones are left here."""
+    docs, back = aside(docs)
     taught = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    return document_scores(docs, taught, labels).filter(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    return back(document_scores(docs, taught, labels).filter(F.col("score") >= LEAST_SCORE))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join."""
-    return one_of_each(docs).select(*docs.columns)
+    docs, back = aside(docs)
+    return back(one_of_each(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
