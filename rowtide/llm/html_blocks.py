@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -30,28 +32,49 @@ CLOSED_BY = {
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+class Names:
+    """Names that an element adds to those of the elements around it, as a chain: nested
+    elements share what they have in common, so a page costs what its own names do."""
+
+    __slots__ = ("new", "above", "weight")
+
+    def __init__(self, new: list[str], above: Names | None):
+        self.new, self.above, self.weight = new, above, None
+
+    def __iter__(self) -> Iterator[str]:
+        at = self
+        while at is not None:
+            yield from at.new
+            at = at.above
+
+
 @dataclass
 class Block:
     text: str
     tag: str
-    names: frozenset[str]  # of its ancestors: tags, and words in their class, id and role
+    names: Names  # of its ancestors: tags, and words in their class, id and role
     linked: int  # characters of the text in links
 
 
 @dataclass
 class Element:
     tag: str
-    names: frozenset[str]
+    names: Names
     block: str  # the nearest block element
+    base: int  # where among the open elements the nearest one is that is not inline
     inline: bool = False
     foreign: bool = False  # whether elements in it are those of a formula or drawing
 
 
 class Blocks(HTMLParser):
+    """Each tag costs the same whatever is open: where the open elements of a name are is known."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: list[Block] = []
-        self.open = [Element("", frozenset(), "")]
+        self.open = [Element("", Names([], None), "", 0)]
+        self.at: dict[str, list[int]] = {}
+        self.held: Counter[str] = Counter()
         self.parts: list[str] = []
         self.place = self.open[0]
         self.linked = self.links = self.unread = 0
@@ -79,43 +102,50 @@ class Blocks(HTMLParser):
             self.parts.append(" ")
         if not inline:
             self.flush()
-            for i in range(len(self.open) - 1, 0, -1):
-                if tag in CLOSED_BY.get(self.open[i].tag, ()):
-                    self.leave(i)
-                    break
-                if not self.open[i].inline and self.open[i].tag != "p":
-                    break
+            i = self.open[-1].base
+            while i and tag not in CLOSED_BY.get(self.open[i].tag, ()) and self.open[i].tag == "p":
+                i = self.open[i - 1].base
+            if i and tag in CLOSED_BY.get(self.open[i].tag, ()):
+                self.leave(i)
         top = self.open[-1]
         own = {f"<{tag}>"}
         for name, value in attrs:
             if value and name in ("class", "id", "role", "aria-label"):
                 own.update(w.lower() for w in NAME.findall(value))
-        names = top.names if own <= top.names else top.names | own
-        self.open.append(Element(tag, names, top.block if inline else tag, inline, tag in FOREIGN or foreign and tag not in TAKES_HTML))
+        new = [n for n in own if not self.held[n]]
+        names = Names(new, top.names) if new else top.names
+        if new:
+            self.held.update(new)
+        self.at.setdefault(tag, []).append(len(self.open))
+        base = top.base if inline else len(self.open)
+        self.open.append(Element(tag, names, top.block if inline else tag, base, inline, tag in FOREIGN or foreign and tag not in TAKES_HTML))
         self.links += tag == "a"
         self.unread += tag in UNREAD
 
     def leave(self, at: int) -> None:
-        for element in self.open[at:]:
+        while len(self.open) > at:
+            element = self.open.pop()
+            self.at[element.tag].pop()
+            if element.names is not self.open[-1].names:
+                self.held.subtract(element.names.new)
             self.links -= element.tag == "a"
             self.unread -= element.tag in UNREAD
-        del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                if not all(e.inline for e in self.open[i:]):
-                    self.flush()
-                elif tag in SPACED:
-                    self.parts.append(" ")
-                self.leave(i)
-                return
-            if tag in INLINE and not self.open[i].inline:
-                return
-        if tag not in INLINE:
+        places, base = self.at.get(tag), self.open[-1].base
+        if tag in INLINE:
+            if not places or places[-1] < base:
+                return  # opened outside the block, if at all
+        elif not places:
             self.flush()
+            return
+        if base >= places[-1]:
+            self.flush()
+        elif tag in SPACED:
+            self.parts.append(" ")
+        self.leave(places[-1])
 
     def handle_data(self, data: str) -> None:
         if self.unread:

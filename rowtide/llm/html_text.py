@@ -12,6 +12,7 @@ is put together.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.html_blocks import Block, leaf_blocks
+from rowtide.llm.html_blocks import Block, Names, leaf_blocks
 from rowtide.llm.words import WORD, slices, wider, with_columns, without
 
 
@@ -39,7 +40,12 @@ class Training:
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of what holds for each block of a page."""
+    """Names of what holds for each block of a page, those of its ancestors included."""
+    return [own + [f"in {n}" for n in b.names] for own, b in zip(own_features(blocks), blocks)]
+
+
+def own_features(blocks: list[Block]) -> list[list[str]]:
+    """Names of what holds for each block of a page by itself."""
     out = []
     for b in blocks:
         words = b.text.count(" ") + 1
@@ -49,7 +55,6 @@ def features(blocks: list[Block]) -> list[list[str]]:
         found.append(f"commas {min(b.text.count(',').bit_length(), 3)}")
         if "©" in b.text or "(c)" in b.text.lower():
             found.append("copyright")
-        found.extend(f"in {n}" for n in b.names)
         out.append(found)
     return out
 
@@ -67,6 +72,21 @@ class Chain:
         index, weights = self.index, self.weights
         return [sum(weights[index[f]] for f in names if f in index) for names in found]
 
+    def around(self, names: Names) -> float:
+        """The weight of the names around a block; kept with them, as neighbours share them."""
+        chain = []
+        while names is not None and names.weight is None:
+            chain.append(names)
+            names = names.above
+        total = names.weight if names is not None else 0.0
+        for link in reversed(chain):
+            total += sum(self.weights[self.index[f"in {n}"]] for n in link.new if f"in {n}" in self.index)
+            link.weight = total
+        return total
+
+    def page_scores(self, blocks: list[Block]) -> list[float]:
+        return [s + self.around(b.names) for s, b in zip(self.scores(own_features(blocks)), blocks)]
+
     def viterbi(self, scores: list[float]) -> list[int]:
         (oo, om), (mo, mm) = self.pairs.tolist()
         other, main = self.first[0], self.first[1] + scores[0]
@@ -87,6 +107,32 @@ def _log_add(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top).sum(axis=0))
 
 
+def gradient(found: list[list[int]], labels: np.ndarray, weights: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood of a page's labels, and its slope by each kind of weight; ``found`` has the
+    numbers of each block's features. Forward and backward sums run over the blocks."""
+    n = len(found)
+    unary = np.zeros((n, 2))
+    unary[:, 1] = [weights[f].sum() for f in found]
+    forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
+    forward[0] = first + unary[0]
+    for i in range(1, n):
+        forward[i] = unary[i] + _log_add(forward[i - 1][:, None] + pairs)
+    for i in range(n - 2, -1, -1):
+        backward[i] = _log_add((pairs + unary[i + 1] + backward[i + 1]).T)
+    whole = _log_add(forward[-1])
+    likely = np.exp(forward + backward - whole)
+    slope = np.zeros(len(weights))
+    np.add.at(slope, np.concatenate([np.array(f) for f in found]), np.repeat(labels - likely[:, 1], [len(f) for f in found]))
+    joint = np.zeros((2, 2))
+    if n > 1:
+        np.add.at(joint, (labels[:-1], labels[1:]), 1)
+        joint -= np.exp(forward[:-1, :, None] + pairs + (unary + backward)[1:, None, :] - whole).sum(axis=0)
+    start = -likely[0]
+    start[labels[0]] += 1
+    likelihood = first[labels[0]] + unary[np.arange(n), labels].sum() + pairs[labels[:-1], labels[1:]].sum() - whole
+    return float(likelihood), slope, joint, start
+
+
 def fit(pages: list[tuple[list[list[str]], list[int]]], training: Training) -> Chain:
     """Weights that make the given labels likely, by scaled gradient steps page by page."""
     index: dict[str, int] = {}
@@ -96,26 +142,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], training: Training) -> C
     random = np.random.default_rng(training.seed)
     for _ in range(training.epochs):
         for k in random.permutation(len(coded)):
-            found, labels = coded[k]
-            n = len(found)
-            unary = np.zeros((n, 2))
-            unary[:, 1] = [weights[f].sum() for f in found]
-            forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-            forward[0] = first + unary[0]
-            for i in range(1, n):
-                forward[i] = unary[i] + _log_add(forward[i - 1][:, None] + pairs)
-            for i in range(n - 2, -1, -1):
-                backward[i] = _log_add((pairs + unary[i + 1] + backward[i + 1]).T)
-            whole = _log_add(forward[-1])
-            likely = np.exp(forward + backward - whole)
-            slope = np.zeros(len(index))
-            np.add.at(slope, np.concatenate([np.array(f) for f in found]), np.repeat(labels - likely[:, 1], [len(f) for f in found]))
-            joint = np.zeros((2, 2))
-            if n > 1:
-                np.add.at(joint, (labels[:-1], labels[1:]), 1)
-                joint -= np.exp(forward[:-1, :, None] + pairs + (unary + backward)[1:, None, :] - whole).sum(axis=0)
-            start = -likely[0]
-            start[labels[0]] += 1
+            _, slope, joint, start = gradient(*coded[k], weights, pairs, first)
             slope -= training.decay * weights
             for values, change, total in ((weights, slope, seen), (pairs, joint, seen_pairs), (first, start, seen_first)):
                 total += change**2
@@ -125,6 +152,8 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], training: Training) -> C
 
 # Names that page authors give to the parts of a page.
 MAIN_NAMES = ("content", "post", "entry", "story", "article body", "post content", "main", "text", "page body", "entry content")
+HEAD_NAMES = ("entry header", "post header", "article header", "title", "headline")
+BYLINES = ("byline", "author", "meta", "date", "published", "dateline")
 OTHER_PARTS = {
     "nav": ("nav", "menu", "navbar", "main nav", "breadcrumb", "pagination", "toc"),
     "header": ("header", "site header", "masthead", "top bar", "branding", "page header"),
@@ -138,8 +167,17 @@ OTHER_PARTS = {
 }
 
 
-def labelled_pages(words: list[str], training: Training) -> list[tuple[str, list[int]]]:
-    """Pages and, for each of their blocks in order, whether it is main text."""
+# Families of layouts: what holds the main text, and what its beginning and end look like. "bare"
+# pages have little or nothing else, and few or no names; fragments lack the page around it; a "headed" article has a header and a
+# footer of its own.
+LAYOUTS = ("article", "main", "main article", "div", "section", "div div", "headed article", "headed main", "headed div", "bare", "bare fragment")
+
+
+def labelled_pages(words: list[str], training: Training, layouts: Sequence[str] = LAYOUTS) -> list[tuple[str, list[int]]]:
+    """Pages and, for each of their blocks in order, whether it is main text.
+
+    The header and byline of an article are part of it; its footer and what it shares are not.
+    """
     random = np.random.default_rng(training.seed)
     words = words or ["word"]
 
@@ -190,12 +228,19 @@ def labelled_pages(words: list[str], training: Training) -> list[tuple[str, list
             inside = texts[0] if n == 1 and chance(0.6) else "".join(f"<p>{t}</p>" for t in texts)
         return f"<{tag}{own}>{inside}</{tag}>", n
 
-    def main_part() -> tuple[str, list[int]]:
+    def main_part(headed: bool, bare: bool) -> tuple[str, list[int]]:
         html, labels = "", []
-        if chance(0.9):
+        if chance(0.4 if bare else 0.9):
             html += f"<h1>{some(2, 14)}</h1>"
             labels.append(1)
-        for _ in range(int(random.integers(1, 16))):
+        if headed or chance(0.1):
+            if chance(0.6):
+                byline = one((f"<p>{some(1, 6)}</p>", f"<p{attributes(BYLINES)}>{some(1, 6)}</p>", f"<div{attributes(BYLINES)}>{some(1, 6)}</div>"))
+                html, labels = html + byline, labels + [1]
+            if html and chance(0.8):
+                html = f"<header{attributes(HEAD_NAMES, 0.4)}>{html}</header>"
+        parts = int(random.integers(1, 4)) if bare or chance(0.25) else int(random.integers(1, 16))
+        for _ in range(parts):
             draw = random.random()
             if draw < 0.72:
                 inner = sentence_like(3, 90)
@@ -217,7 +262,10 @@ def labelled_pages(words: list[str], training: Training) -> list[tuple[str, list
                 part, n = other(one(("ad", "aside", "form", "share", "notice")))
                 html += part
                 labels += [0] * n
-        if chance(0.25):
+        if headed and chance(0.7):
+            part, n = other("footer")
+            html, labels = html + part, labels + [0] * n
+        if not bare and chance(0.25):
             part, n = other("comments")
             html, labels = html + part, labels + [0] * n
         return html, labels
@@ -226,30 +274,37 @@ def labelled_pages(words: list[str], training: Training) -> list[tuple[str, list
     for _ in range(training.pages):
         head = f"<head><title>{some(2, 9)}</title><style>p{{margin:0}}</style></head>" if chance(0.9) else ""
         html, labels = "", [0] if head else []
+        layout = one(layouts)
+        bare, headed, fragment = layout.startswith("bare"), layout.startswith("headed "), layout == "bare fragment"
+        few = 0.0 if fragment else 0.15 if bare else 1.0
+        if fragment:
+            head, labels = "", []
         for kind in ("notice", "header", "nav", "ad", "aside"):
-            if chance(0.5):
+            if chance(0.5 * few):
                 part, n = other(kind)
                 html, labels = html + part, labels + [0] * n
-        main, y = main_part()
-        container = one(("article", "article", "main", "main article", "div", "div", "section", "div div"))
+        main, y = main_part(headed, bare)
+        container = one(("div", "div", "main", "article", "section", "")) if bare else layout.removeprefix("headed ")
         for tag in reversed(container.split()):
-            plain = tag in ("article", "main") and chance(0.6)
+            plain = (tag in ("article", "main") and chance(0.6)) or bare and chance(0.7)
             main = f"<{tag}{'' if plain else attributes(MAIN_NAMES, 0.85)}>{main}</{tag}>"
         html, labels = html + main, labels + y
         for kind in ("comments", "aside", "form", "ad", "share", "nav", "footer"):
-            if chance(0.45):
+            if chance(0.45 * few):
                 part, n = other(kind)
                 html, labels = html + part, labels + [0] * n
-        if chance(0.3):
+        if chance(0.3 * few):
             html = f'<div class="{one(("wrapper", "container", "page", "site", "layout"))}">{html}</div>'
-        pages.append((f"<!DOCTYPE html><html>{head}<body>{html}</body></html>", labels))
+        pages.append((html if fragment else f"<!DOCTYPE html><html>{head}<body>{html}</body></html>", labels))
     return pages
 
 
 def learn(pages: DataFrame, training: Training = Training(), html: str = "html") -> Chain:
     """Fits the chain on labelled pages with words of a bounded sample of ``pages``."""
-    usable = pages.filter(F.col(html).isNotNull()).select(F.substring(html, 1, training.characters).alias("h"))
-    rows = usable.orderBy(F.xxhash64("h"), "h").limit(training.sample).collect()
+    usable = pages.filter(F.col(html).isNotNull()).select(F.substring(html, 1, training.characters).alias("h")).withColumn("x", F.xxhash64("h"))
+    # Hashes alone are compared and brought together; then the pages that have the lowest.
+    least = [r["x"] for r in usable.select("x").distinct().orderBy("x").limit(training.sample).collect()]
+    rows = usable.filter(F.col("x").isin(least)).groupBy("x").agg(F.min("h").alias("h")).orderBy("x").collect() if least else []
     words = [w for r in rows for b in leaf_blocks(r["h"]) for w in WORD.findall(b.text) if "<" not in w and "&" not in w]
     made = []
     for page, labels in labelled_pages(words, training):
@@ -263,7 +318,7 @@ def main_text(chain: Chain, html: str) -> str:
     blocks = leaf_blocks(html)
     if not blocks:
         return ""
-    labels = chain.viterbi(chain.scores(features(blocks)))
+    labels = chain.viterbi(chain.page_scores(blocks))
     return "\n\n".join(b.text for b, y in zip(blocks, labels) if y)
 
 
