@@ -71,3 +71,36 @@ def test_intervals_hold_every_vector_of_the_cosine():
     for q in units[:40]:
         for cosine in (0.5, 0.9, 0.99):
             assert set(np.flatnonzero(units @ q >= cosine)) <= set(lists.near(q, cosine).tolist())
+
+
+def cell(v, ids):
+    import pyarrow as pa
+
+    v = np.asarray(v, float)
+    return pa.table({
+        "vec_id": pa.array(ids, pa.int64()), "v": pa.array(v.tolist(), pa.list_(pa.float64())), "norm": pa.array(np.sqrt((v * v).sum(1))),
+        "position": pa.array(ids, pa.int64()),
+    })
+
+
+def test_cells_prune_by_coordinates_and_by_length(monkeypatch):
+    """Queries with close neighbours look these up; long and short vectors let whole buckets go."""
+    rng = np.random.default_rng(4)
+    units = rng.normal(size=(600, 6))
+    units = np.concatenate([units, units[:40, None] + rng.normal(size=(40, 9, 6)) * 0.002], axis=None).reshape(-1, 6)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    lengths = np.where(np.arange(len(units)) % 5 == 0, 100, 1000)
+    v = np.floor(units * lengths[:, None] * 30)
+    v = v[np.argsort(-np.linalg.norm(v, axis=1), kind="stable")]
+    vectors = cell(v, list(range(len(v))))
+    queries = vectors.slice(0, 200).rename_columns(["vec_id", "v", "norm", "q"])
+    looked, real = [], top_products.Lists.near
+    monkeypatch.setattr(top_products.Lists, "near", lambda self, unit, cosine: looked.append(len(self.units)) or real(self, unit, cosine))
+    scores = v @ v[:200].T
+    for known in (False, True):
+        least = [int(sorted(np.delete(scores[:, i], i))[-5]) if known else None for i in range(200)]
+        got = top_products.search_cell(queries.append_column("least", [least]), vectors, 5, 64).to_pylist()
+        for i in range(200):
+            want = sorted(((-int(scores[j, i]), j) for j in range(len(v)) if j != i))[:5]
+            assert sorted((-r["score"], r["vec_id"]) for r in got if r["q"] == i) == want
+    assert len(looked) > 200
