@@ -134,5 +134,5 @@ def test_very_long_texts(spark):
 def test_steps_of_rows_are_the_cheapest():
     cost, order, audits = conversation_repair.row_steps()
     assert audits[3][0][conversation_repair.USER] == "K" and cost[3, 0, conversation_repair.USER] == 0
-    assert audits[8][0][0] == "D" and audits[2][1][2] == "DI" and cost[2, 1, 2] == 5
+    assert audits[8][0][0] == "D" and audits[2][1][2] == "ID" and cost[2, 1, 2] == 5
     assert (cost < conversation_repair.FAR).sum(-1).min() >= 2
