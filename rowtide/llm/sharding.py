@@ -23,7 +23,9 @@ from rowtide.llm.words import free_name, without
 from rowtide.session import written
 
 ROW_BITS = 33  # of monotonically_increasing_id
-# A draw looks this many standard deviations to each side of its likeliest value.
+# A draw looks this many standard deviations, and 20 values, to each side of its likeliest value; one
+# from further out, of a probability far below that of any uniform number's last bit, gives the
+# likeliest value. Sums of rows and columns are exact either way.
 REACH = 12
 
 
