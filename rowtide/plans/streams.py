@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowtide.plans.catalog import query
 from rowtide.session import work_path
+from rowtide.sources.tables import read_table
 from rowtide.streaming.events import (
     LOCAL_SESSIONS,
     complete_days,
@@ -16,6 +17,7 @@ from rowtide.streaming.events import (
     followed_by,
     window_totals,
 )
+from rowtide.streaming.replay import replayed_totals
 from rowtide.streaming.sources import event_stream, run_to_end, run_to_table
 
 DELAY = "1 hour"
@@ -105,3 +107,23 @@ def stream_complete_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = work_path(spark, "days-end")
     days = complete_days(event_stream(spark, sf_dir, end=end), ["view", "click", "purchase"], DELAY)
     return run_to_end(days, "days", end)
+
+
+@query(f"""
+    WITH arriving AS (
+        SELECT *, CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS window_start, DATE_TRUNC('week', ts +
+               CASE WHEN event_id % 10 = 0 THEN INTERVAL 5 DAYS ELSE INTERVAL 0 DAYS END) AS week
+        FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL),
+    weeks AS (
+        SELECT week, MAX(MAX(ts)) OVER (
+            ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS watermark
+        FROM arriving GROUP BY week)
+    SELECT event_type, window_start, window_start + INTERVAL 1 DAY AS window_end, {TOTALS},
+           COALESCE(window_start + INTERVAL 1 DAY <= watermark, FALSE) AS late
+    FROM arriving JOIN weeks USING (week) GROUP BY ALL
+""")
+def stream_replay_with_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events come week by week, every tenth five days after its time; days close a day later."""
+    delay = F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL 5 DAYS")).when(F.col("event_id").isNotNull(), F.expr("INTERVAL 0 DAYS"))
+    events = read_table(spark, sf_dir, "events").withColumn("week", F.date_trunc("week", F.col("ts") + delay))
+    return replayed_totals(events, "week", ["event_type"], F.window("ts", "1 day"), "1 day")

@@ -16,11 +16,12 @@ LOCAL_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.par
 
 def window_totals(stream: DataFrame, keys: list[str], window: Column, delay: str) -> DataFrame:
     """Count and sum of ``value`` per key and event-time window, once the window closes."""
-    totals = (
-        stream.withWatermark("ts", delay)
-        .groupBy(window.alias("w"), *keys)
-        .agg(F.count("*").alias("n"), F.sum(money("value")).cast("decimal(38,2)").alias("total"))
-    )
+    return totals_in(stream.withWatermark("ts", delay), keys, window)
+
+
+def totals_in(rows: DataFrame, keys: list[str], window: Column) -> DataFrame:
+    """Count and sum of ``value`` per key and window."""
+    totals = rows.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(money("value")).cast("decimal(38,2)").alias("total"))
     return totals.select(
         *keys,
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 from pyspark.sql.types import StructType
 
 from rowtide.session import work_path
@@ -55,7 +56,7 @@ def run_to_table(stream: DataFrame, label: str, settings: dict[str, str] | None
     from there. ``settings`` hold for this stream only.
     """
     path = work_path(stream.sparkSession, label)
-    _process(stream, path, settings)
+    process(stream, path, settings)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -68,20 +69,27 @@ def run_to_end(stream: DataFrame, label: str, end: str, settings: dict[str, str]
     The stream is over then, as whatever comes later is late.
     """
     path = work_path(stream.sparkSession, label)
-    _process(stream, path, settings)
+    process(stream, path, settings)
+    end_stream(stream.sparkSession, end)
+    process(stream, path, settings)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def end_stream(spark: SparkSession, end: str) -> None:
+    """Put one event later than any other into ``end``."""
     last = {"ts": F.lit(END_OF_TIME)}
     columns = [last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMAS["events"])]
-    stream.sparkSession.range(1).select(*columns).write.parquet(end)
-    _process(stream, path, settings)
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    spark.range(1).select(*columns).write.parquet(end)
 
 
-def _process(stream: DataFrame, path: str, settings: dict[str, str] | None) -> None:
+def process(stream: DataFrame, path: str, settings: dict[str, str] | None = None) -> list[StreamingQueryProgress]:
+    """Run the stream over the input there is now, from its checkpoint, and report its batches."""
     with _settings(stream.sparkSession, {**STATE_ON_DISK, **(settings or {})}):
         writer = stream.writeStream.outputMode("append").format("parquet")
         writer = writer.option("checkpointLocation", f"{path}/checkpoint")
         run = writer.trigger(availableNow=True).start(f"{path}/rows")
     run.awaitTermination()
+    return run.recentProgress
 
 
 @contextmanager
