@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.words import Pieces, free_name, offsets, slices, wider, with_columns, without
+from rowtide.llm.words import KEPT_WORDS, SLICE, Pieces, free_name, offsets, released, slices, wider, with_columns, without
 from rowtide.session import written
 
 CAPACITY = 4096
@@ -47,7 +47,7 @@ class WordIds:
     of a special token, is coded whole; a token belongs to the word that its characters are in.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -56,7 +56,7 @@ class WordIds:
         self.parts_only.normalizer = None
         blank, to_bytes = pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts_only.pre_tokenizer = pre_tokenizers.Sequence([blank, to_bytes])
-        self.words, self.parts = Pieces(self._words), Pieces(self._parts)
+        self.words, self.parts = Pieces(self._words, kept), Pieces(self._parts, kept)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all texts' ids end to end; null counts as empty."""
@@ -96,25 +96,28 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, kept: int = KEPT_WORDS) -> WordIds:
     """One memory for all tasks of a worker."""
-    return WordIds(path)
+    return WordIds(path, kept)
 
 
-def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
+def token_pieces(
+    df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, text: str = "text", kept: int = KEPT_WORDS, characters: int = SLICE
+) -> DataFrame:
     """One row per piece of a text: ``piece``, ``start``, ``length`` and ``ids`` (binary,
     little-endian unsigned 32-bit), with the other columns repeated and the text left out.
 
     Ids of the whole text and an end id; only what is longer than ``capacity`` is cut, into
     full pieces and a last one. Null and empty texts give one piece that holds the end id. The
     tokenizer must drop white space and never join what it parts. Columns of the added names
-    are replaced; repeated rows stay apart; an empty table gives no rows.
+    are replaced; repeated rows stay apart; an empty table gives no rows. ``kept`` words that a
+    worker remembers and ``characters`` that it handles at once bound its memory and change no result.
     """
     base = without(df, ["piece", "start", "length", "ids"])
 
     def run(batches):
-        memory = word_ids(tokenizer)
-        for batch in (part for b in batches for part in slices(b, text)):
+        memory = word_ids(tokenizer, kept)
+        for batch in (part for b in released(batches) for part in slices(b, text, characters)):
             counts, ids = memory.of(batch.column(text))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1

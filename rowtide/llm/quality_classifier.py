@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm.catalog import query, table
-from rowtide.llm.words import WORD, slices, texts_of, wider, with_columns, without
+from rowtide.llm.words import CHAINED_SLICE, CHAINED_WORDS, WORD, released, slices, texts_of, wider, with_columns, without
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,7 @@ class Settings:
     seed: int = 7
 
 
+LEARNED = 20_000  # words whose features are found at once
 NEIGHBOURS_ALIKE = 1  # bucket for a word that repeats the one before it
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +96,7 @@ def pair_buckets(hashes: np.ndarray, settings: Settings) -> np.ndarray:
 class Features:
     """Feature sums of words, kept per worker; ``values`` holds one number per bucket."""
 
-    def __init__(self, values: np.ndarray, settings: Settings, kept: int = 400_000):
+    def __init__(self, values: np.ndarray, settings: Settings, kept: int = CHAINED_WORDS):
         self.values, self.settings, self.kept = values.astype(np.float64), settings, kept
         self.clear()
 
@@ -115,7 +116,8 @@ class Features:
             self.clear()
         words = [WORD.findall(t) for t in texts]
         if new := [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.index]:
-            self.learn(new)
+            for i in range(0, len(new), LEARNED):
+                self.learn(new[i : i + LEARNED])
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
@@ -188,7 +190,7 @@ def quality_scores(df: DataFrame, model: tuple[np.ndarray, float], settings: Set
 
     def run(batches):
         features = Features(*held.value)
-        for batch in (part for b in batches for part in slices(b, text)):
+        for batch in (part for b in released(batches) for part in slices(b, text, CHAINED_SLICE)):
             odds = features.score(texts_of(batch, text)) + bias
             yield with_columns(batch, [name], [pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))))])
 

@@ -19,6 +19,10 @@ from pyspark.sql.types import StructType
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Entries that one worker keeps; at about 200 bytes each.
 KEPT_WORDS = 400_000
+# Characters that a task handles at once.
+SLICE = 4_000_000
+# Both for stages of a chain: workers live on, and what one stage keeps stands beside the next one's.
+CHAINED_WORDS, CHAINED_SLICE = 100_000, 1_000_000
 
 
 class Numbered(dict):
@@ -99,7 +103,7 @@ def offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, characters: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, characters: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many characters of text; one text is never cut."""
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -112,6 +116,12 @@ def slices(batch: pa.RecordBatch, column: str, characters: int = 4_000_000) -> I
         yield batch.slice(start)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end Arrow's free memory goes back, as idle workers would hold it."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

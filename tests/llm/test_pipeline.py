@@ -1,8 +1,10 @@
 """The pipeline against a plain version of its stages, and the queries that SQL can state."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,19 @@ def test_rows_without_an_id_are_compared_with_all(spark, awkward):
 def test_empty_tables_give_no_rows(spark, awkward):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward.filter("false"), SF_DIR).count() == 0
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_classifier, corpus_pipeline.packing])
+def test_stages_hold_little_in_a_worker(spark, monkeypatch, stage):
+    """Large batches with many words that no other text has: what a worker holds is bounded."""
+    docs = spark.createDataFrame([], "doc_id BIGINT, text STRING")
+    mapped, runs = type(docs).mapInArrow, []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, *rest: runs.append(run) or mapped(df, run, *rest))
+    stage(spark, docs, SF_DIR)
+    texts = [" ".join(f"w{(500 * i + j) % 450_000:06d}" for j in range(500)) for i in range(2000)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": texts[a : a + 1000]}) for a in (0, 1000)]
+    tracemalloc.start()
+    assert sum(out.num_rows for out in runs[0](iter(batches))) >= len(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 150
